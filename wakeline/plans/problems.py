@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.operators import timestamps
+from wakeline.operators import heavy_keys, row_parser, timestamps
 from wakeline.session import load
 
 
@@ -14,5 +14,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.found_timestamps(load(spark, sf_dir, "ais_points_cleaned"), load(spark, sf_dir, "ais_stations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-ORACLE: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_parser.found_bad_lines(load(spark, sf_dir, "ais_raw_lines"), load(spark, sf_dir, "ais_import_progress"))
+
+
+def p5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_parser.reject_counts(load(spark, sf_dir, "ais_raw_lines"), load(spark, sf_dir, "ais_import_progress"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_keys.found_heavy(load(spark, sf_dir, "ais_points_cleaned"))
+
+
+def p6_vessel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_keys.vessel_profile(load(spark, sf_dir, "ais_points_cleaned"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p5_found, p5_reject_counts, p6_found, p6_vessel_profile)}
+ORACLE: dict[str, str] = {
+    "p6_found": """SELECT mmsi FROM ais_points_cleaned WHERE mmsi IS NOT NULL GROUP BY mmsi
+        HAVING count(*) >= 0.02 * (SELECT count(*) FROM ais_points_cleaned)""",
+    "p6_vessel_profile": """SELECT mmsi, count(*) AS n_rows, count(sog) AS n_sog, min(lat) AS min_lat, max(lat) AS max_lat,
+        max(sog) AS max_sog, min(id) AS first_id, max(id) AS last_id FROM ais_points_cleaned WHERE mmsi IS NOT NULL GROUP BY mmsi""",
+}
