@@ -33,7 +33,8 @@ BLANK = " \t\r\n\u000b\u000c "
 def min_cost_parse(line: str, delimiter: str, fields: int = FIELDS) -> tuple[int, int, list[str]]:
     """(quote edits, delimiter edits, fields) of the cheapest parse.
 
-    States: start of a field (S), plain field (P), inside quotes (Q), after a closing quote (A). Reading
+    States: start of a field (S), plain field (P), inside quotes (Q), after a closing quote (A), after
+    blanks behind it (B). Reading
     a character moves between states at no cost where the grammar allows it; closing an open quote or
     taking a quote out costs one quote edit. Delimiter edits follow from the field count of the parse
     with the fewest quote edits, so they never hide a quote edit.
@@ -70,25 +71,14 @@ def min_cost_parse(line: str, delimiter: str, fields: int = FIELDS) -> tuple[int
                     offer(nxt, "Q", cost, done, cur + ch)
                     if ch == delimiter:  # a closing quote is put in before the delimiter
                         offer(nxt, "S", cost + 1, (*done, cur), "")
-            else:  # A
-                if ch == delimiter:
-                    offer(nxt, "S", cost, (*done, cur), "")
-                elif ch == '"':
-                    offer(nxt, "Q", cost, done, cur + '"')  # a doubled quote
-                elif ch in blanks:
-                    offer(nxt, "B", cost, done, cur)
-                else:
-                    offer(nxt, "Q", cost + 1, done, cur + ch)  # the closing quote is taken out
-            if state == "B":
-                pass
-        if "B" in best:  # blanks after a closing quote
-            cost, done, cur = best["B"]
-            if ch == delimiter:
+            elif ch == delimiter:  # A or B
                 offer(nxt, "S", cost, (*done, cur), "")
             elif ch in blanks:
                 offer(nxt, "B", cost, done, cur)
+            elif state == "A" and ch == '"':
+                offer(nxt, "Q", cost, done, cur + '"')  # a doubled quote
             else:
-                offer(nxt, "Q", cost + 1, done, cur + ch)
+                offer(nxt, "Q", cost + 1, done, cur + ch)  # the closing quote is taken out
         best = nxt
         i += 1
     ends = []
