@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakeline.operators import heavy_keys, row_parser, timestamps
-from wakeline.session import load
+from wakeline.operators import heavy_keys, row_parser, spikes, timestamps, trips
+from wakeline.session import load, write_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,24 @@ def p6_vessel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_keys.vessel_profile(load(spark, sf_dir, "ais_points_cleaned"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p5_found, p5_reject_counts, p6_found, p6_vessel_profile)}
+def _timed_points(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    src = load(spark, sf_dir, "ais_points_cleaned").select("ts", "station_id", "received_at", *cols)
+    return timestamps.normalize_timestamps(src, load(spark, sf_dir, "ais_stations")).select(*cols, "ts_us")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = write_table(_timed_points(spark, sf_dir, "id", "mmsi", "lat", "lon", "sog", "cog"), "timed")
+    return spikes.flag_readings(timed)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = write_table(_timed_points(spark, sf_dir, "id", "mmsi", "lat", "lon", "sog", "cog"), "timed")
+    wrong = spikes.flag_readings(timed).filter(F.col("field").isin("lat", "lon")).select("id").distinct()
+    clean = timed.join(wrong, "id", "left_anti")
+    return trips.stops_and_trips(clean).select("mmsi", "kind", "start_us", "end_us")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_reject_counts, p6_found, p6_vessel_profile)}
 ORACLE: dict[str, str] = {
     "p6_found": """SELECT mmsi FROM ais_points_cleaned WHERE mmsi IS NOT NULL GROUP BY mmsi
         HAVING count(*) >= 0.02 * (SELECT count(*) FROM ais_points_cleaned)""",
