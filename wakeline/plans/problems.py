@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators import heavy_keys, row_parser, spikes, timestamps, trips
+from wakeline.operators import heavy_keys, proximity, row_parser, spikes, timestamps, trips
 from wakeline.session import load, write_table
 
 
@@ -48,7 +48,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.stops_and_trips(clean).select("mmsi", "kind", "start_us", "end_us")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_reject_counts, p6_found, p6_vessel_profile)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = write_table(proximity.with_position(_timed_points(spark, sf_dir, "id", "mmsi", "geom")).drop("geom"), "placed")
+    pairs = proximity.near_pairs(timed).select(F.lit("pair").alias("kind"), "a", "b")
+    areas = proximity.inside(timed, load(spark, sf_dir, "sea_areas")).select(F.lit("area").alias("kind"), F.col("area_id").alias("a"), F.col("id").alias("b"))
+    return pairs.unionByName(areas)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_reject_counts, p6_found, p6_vessel_profile)}
 ORACLE: dict[str, str] = {
     "p6_found": """SELECT mmsi FROM ais_points_cleaned WHERE mmsi IS NOT NULL GROUP BY mmsi
         HAVING count(*) >= 0.02 * (SELECT count(*) FROM ais_points_cleaned)""",
