@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import encoding, splits
+from wakeline.llm import encoding, leakage, splits, subjects
 from wakeline.session import load
 
 
@@ -24,5 +24,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_splits, p8_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_subject_labels")).select("doc_id", "subject").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_splits, p8_ids, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}
