@@ -56,7 +56,7 @@ def test_orders_clocks_and_repeated_hours(spark):
 
 def track(n=60, mmsi=1, lat=55.0, step=0.003, t0=0, first=0):
     rng = np.random.default_rng(mmsi)
-    return [(first + i, mmsi, (t0 + 120 * i) * 1_000_000, lat + step * i + rng.normal(0, 1e-5), 10.0, 10.0 + rng.normal(0, 0.3), float((5 + rng.normal(0, 2)) % 360)) for i in range(n)]
+    return [(first + i, mmsi, (t0 + 120 * i) * 1_000_000, lat + step * i + rng.normal(0, 1e-5), 10.0 + rng.normal(0, 1e-5), 10.0 + rng.normal(0, 0.3), float((5 + rng.normal(0, 2)) % 360)) for i in range(n)]
 
 
 def test_spikes_stuck_runs_and_lasting_changes(spark):

@@ -36,16 +36,18 @@ def _wrap(d: np.ndarray, period: float | None) -> np.ndarray:
 def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.ndarray, r: np.ndarray, q: np.ndarray, gate: float, floor: float, period: float | None = None) -> np.ndarray:
     """Signed leap flags of one pass: 1 flagged, 0 fitting, -1 where the pass has no earlier reading.
 
-    All groups advance in step. State per group: level x, variance p; r is the measurement variance and
+    All groups advance in step, long ones in blocks. State per group: level x, variance p; r is the measurement variance and
     q the variance gained per squared second. Three rejected readings that agree with each other restart
     the level there.
     """
     n = len(start)
+    start, length, skip, group = _blocks(start, length)
+    r, q, n = r[group], q[group], len(start)
     out = np.full(len(z), -1, dtype=np.int8)
     x, p, last = np.full(n, np.nan), np.zeros(n), np.zeros(n)
     pend, held = np.full(n, np.nan), np.zeros(n, dtype=int)
     order = np.argsort(-length, kind="stable")
-    start, length, r, q = start[order], length[order], r[order], q[order]
+    start, length, r, q, skip = start[order], length[order], r[order], q[order], skip[order]
     for k in range(int(length.max()) if n else 0):
         m = int(np.searchsorted(-length, -k, side="left"))
         idx = start[:m] + k
@@ -62,8 +64,8 @@ def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.nda
         near_pend = far & (np.abs(_wrap(zz - pend[:m], period)) <= np.maximum(gate * np.sqrt(q[:m] * dt * dt + r[:m]), floor))
         held[:m] = np.where(near_pend, held[:m] + 1, np.where(far, 1, np.where(ok, 0, held[:m])))
         restart = far & (held[:m] >= 3)
-        out[idx[ok & ~first]] = far[ok & ~first]
-        out[idx[restart]] = 0
+        tell = ok & ~first & (k >= skip[:m])
+        out[idx[tell]] = (far & ~restart)[tell]
         use = ok & ~first & ~far
         gain = pp / s
         x[:m] = np.where(use, x[:m] + gain * innov, np.where(first | restart, zz, x[:m]))
@@ -76,6 +78,16 @@ def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.nda
     return out
 
 
+def _blocks(start: np.ndarray, length: np.ndarray, rows: int = 256, warm: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut long groups into blocks that start with the rows before them to warm up: (start, length, rows to skip, group)."""
+    count = np.maximum(1, -(-length // rows))
+    group = np.repeat(np.arange(len(start)), count)
+    part = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+    home = part * rows
+    skip = np.minimum(home, warm)
+    return start[group] + home - skip, np.minimum(rows, length[group] - home) + skip, skip, group
+
+
 def _both_ways(z, t, start, length, r, q, gate, floor, period=None):
     ahead = kalman_flags(z, t, start, length, r, q, gate, floor, period)
     n = len(z)
