@@ -31,6 +31,12 @@ def stops_and_trips(points: DataFrame, *, silence_us: int = 180 * MIN_US, stay_u
     p = p.withColumn("__d", metres(F.col("__la"), F.col("__lo"), F.col("lat"), F.col("lon"))).withColumn("__dt", (F.col("ts_us") - F.col("__t")) / 1e6)
     cut = F.col("__t").isNull() | (F.col("ts_us") - F.col("__t") > silence_us)
     travel = cut | (F.col("__d") > radius) | ((F.col("__d") > 60) & (F.col("__d") / F.col("__dt") > slow))
+    # Slow sailing: each step is short, but the positions four pings before and after lie well apart from this one.
+    back = metres(F.lag("lat", 4).over(w), F.lag("lon", 4).over(w), F.col("lat"), F.col("lon"))
+    ahead = metres(F.lead("lat", 4).over(w), F.lead("lon", 4).over(w), F.col("lat"), F.col("lon"))
+    calm_us = F.lead("ts_us", 4).over(w) - F.lag("ts_us", 4).over(w)
+    p = p.withColumn("__drift", F.coalesce((back > 120) & (ahead > 120) & ((back + ahead) / (calm_us / 1e6) > 0.15) & (calm_us <= silence_us), F.lit(False)))
+    travel = travel | F.col("__drift")
     p = p.withColumns({"__seg": F.sum(cut.cast("int")).over(w), "__isl": F.sum(travel.cast("int")).over(w)})
     isl = p.groupBy("mmsi", "__seg", "__isl").agg(
         F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sum(F.when(~cut, F.col("__d"))).alias("m")
