@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 CHUNK_US = 12 * 3600 * 1_000_000
 HALO_US = 3 * 3600 * 1_000_000
 RUN = 10
+#: Degrees of latitude a second that no vessel makes (60 m/s).
+FASTEST_DEG = 60 / 111_195
 #: Valid ranges.
 RANGES = {"sog": (0.0, 102.2), "cog": (0.0, 360.0), "lat": (-90.0, 90.0), "lon": (-180.0, 180.0)}
 
@@ -93,7 +95,7 @@ def _both_ways(z, t, start, length, r, q, gate, floor, period=None):
     n = len(z)
     rstart = n - (start + length)
     back = kalman_flags(z[::-1], -t[::-1], rstart, length, r, q, gate, floor, period)[::-1]
-    return ((ahead == 1) & (back != 0)) | ((back == 1) & (ahead == -1))
+    return (ahead == 1) & (back == 1), ((ahead == 1) & (back == -1)) | ((back == 1) & (ahead == -1))
 
 
 def _metres(lat1, lon1, lat2, lon2):
@@ -123,6 +125,13 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
         prev = pd.Series(x).groupby(gid).ffill().groupby(gid).shift().to_numpy()
         return np.abs(_wrap(x - prev, period))
 
+    def beside(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group's readings just before and after that are not null."""
+        g = pd.Series(x)
+        return g.groupby(gid).ffill().groupby(gid).shift().to_numpy(), g.groupby(gid).bfill().groupby(gid).shift(-1).to_numpy()
+
+    seen_before = lambda x: beside(np.where(np.isnan(x), np.nan, t))[0]
+    seen_after = lambda x: beside(np.where(np.isnan(x), np.nan, t))[1]
     dt = np.r_[np.nan, np.diff(t)]
     dt[edge] = np.nan
     flags = {}
@@ -130,7 +139,12 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
         d = step(v[f], period)
         rate = per_group(d / np.maximum(dt, 20), 0.85) if len(d) else d
         speed = np.clip(rate, 3e-6, 6e-4)
-        flags[f] = _both_ways(v[f], t, edge, length, np.full(len(edge), 1e-8), (1.5 * speed) ** 2, 4.0, 0.02, period)
+        both, single = _both_ways(v[f], t, edge, length, np.full(len(edge), 1e-8), (1.5 * speed) ** 2, 4.0, 0.02, period)
+        # With readings on one side only, a leap must be faster than any vessel.
+        old, new = beside(v[f])
+        limit = FASTEST_DEG / (1.0 if f == "lat" else np.maximum(np.cos(np.radians(np.nan_to_num(v["lat"]))), 0.01))
+        fast = np.fmax(np.abs(_wrap(v[f] - old, period)) / np.maximum(t - seen_before(v[f]), 1), np.abs(_wrap(new - v[f], period)) / np.maximum(seen_after(v[f]) - t, 1)) > limit
+        flags[f] = both | (single & fast)
     lat, lon = np.where(flags["lat"], np.nan, v["lat"]), np.where(flags["lon"], np.nan, v["lon"])
     g = pd.DataFrame({"lat": lat, "lon": lon, "t": np.where(np.isnan(lat + lon), np.nan, t)})
     before, after = g.groupby(gid).ffill().groupby(gid).shift(), g.groupby(gid).bfill().groupby(gid).shift(-1)
@@ -142,12 +156,17 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
 
     ds = step(v["sog"])
     noise = np.maximum(per_group(ds, 0.7), 0.3)
-    leap = _both_ways(v["sog"], t, edge, length, noise**2, np.full(len(edge), 1e-5), 4.5, 4.0)
-    flags["sog"] = leap & (~known | (np.abs(v["sog"] - implied) > np.maximum(4.0, 0.3 * implied)))
+    leap, single = _both_ways(v["sog"], t, edge, length, noise**2, np.full(len(edge), 1e-5), 4.5, 4.0)
+    flags["sog"] = (leap | (single & (np.abs(v["sog"] - implied) > 15))) & (~known | (np.abs(v["sog"] - implied) > np.maximum(4.0, 0.3 * implied)))
     dc = step(v["cog"], 360.0)
-    local = pd.Series(dc).groupby(gid).rolling(9, center=True, min_periods=3).median().to_numpy() if len(dc) else dc
     cn = np.clip(per_group(np.where(implied > 2, dc, np.nan), 0.7), 2.0, 12.0)
-    flags["cog"] = _both_ways(v["cog"], t, edge, length, cn**2, np.full(len(edge), 2e-3), 4.0, 28.0, 360.0) & (np.nan_to_num(local, nan=99.0) < 14)
+    leap, _ = _both_ways(v["cog"], t, edge, length, cn**2, np.full(len(edge), 2e-3), 4.0, 28.0, 360.0)
+    # The readings on both sides must agree with each other: at rest closely, under way up to a turn.
+    old, new = beside(v["cog"])
+    apart, rise = np.abs(_wrap(new - old, 360.0)), np.abs(_wrap(v["cog"] - old, 360.0))
+    calm = pd.Series(np.where(np.isnan(dc), 0, dc)).rolling(9, center=True, min_periods=1).median().to_numpy()
+    under_way = (implied > 2) & (np.nan_to_num(v["sog"], nan=9.0) > 1)
+    flags["cog"] = leap & np.where(under_way, apart <= np.maximum(25.0, 0.5 * rise), (apart <= 15.0) & (calm < 8.0))
 
     # Vanishing innovations: runs of equal readings.
     mad = lambda s, by: (s - s.groupby(by).transform("median")).abs().groupby(by).transform("median")
