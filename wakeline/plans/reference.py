@@ -38,7 +38,7 @@ kept AS (SELECT *, CASE WHEN idx = 0 OR idx = n - 1 OR row_number() OVER (PARTIT
 PLANS: dict[str, str] = {
     "adapter_points": "SELECT event_id, mmsi, t, lat, lon, heading FROM pts",
     "gap_sessions": "SELECT mmsi, seg, count(*) AS n_points, min(t) AS t_start, max(t) AS t_end FROM trk GROUP BY mmsi, seg",
-    "load_audit": "SELECT count(*) AS n_segments, sum(n_points) AS n_points, max(n_points) AS longest FROM (SELECT mmsi, seg, count(*) AS n_points FROM trk GROUP BY mmsi, seg) s",
+    "load_audit": "SELECT count(*) AS n_segments, CAST(sum(n_points) AS BIGINT) AS n_points, max(n_points) AS longest FROM (SELECT mmsi, seg, count(*) AS n_points FROM trk GROUP BY mmsi, seg) s",
     "box_scan": "SELECT event_id, mmsi, t FROM pts WHERE lat BETWEEN 54.6e0 AND 55.1e0 AND lon BETWEEN 10.1e0 AND 10.7e0 AND t BETWEEN 1704200000 AND 1705500000",
     "box_trajectories": "SELECT DISTINCT mmsi, seg FROM trk WHERE lat BETWEEN 54.6e0 AND 55.1e0 AND lon BETWEEN 10.1e0 AND 10.7e0 AND t BETWEEN 1704200000 AND 1705500000",
     "multi_box_hits": "SELECT q.query_id, count(h.event_id) AS n_hits, count(DISTINCT h.mmsi) AS n_vessels FROM q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id",
@@ -54,7 +54,7 @@ PLANS: dict[str, str] = {
     "ship_type_fill": "SELECT event_id, min(CASE WHEN ship_type = 'error' THEN NULL ELSE ship_type END) OVER (PARTITION BY mmsi) AS filled FROM pts",
     "vessel_anti": "SELECT p.event_id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM (SELECT mmsi FROM pts WHERE speed > 25 GROUP BY mmsi HAVING count(*) >= 2) f WHERE f.mmsi = p.mmsi)",
     "max_gap_per_vessel": "SELECT mmsi, max(t - pt) AS max_gap_s FROM lagged GROUP BY mmsi",
-    "gap_verdicts": "SELECT mmsi, count(*) AS n_gaps, sum(CASE WHEN t - pt > 7200 THEN 1 ELSE 0 END) AS n_long FROM lagged WHERE pt IS NOT NULL GROUP BY mmsi",
+    "gap_verdicts": "SELECT mmsi, count(*) AS n_gaps, CAST(sum(CASE WHEN t - pt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS n_long FROM lagged WHERE pt IS NOT NULL GROUP BY mmsi",
     "turn_scores": "SELECT event_id, round(CASE WHEN phead IS NULL OR n <= 2 THEN 0e0 ELSE least(abs(heading - phead), 360 - abs(heading - phead)) / 180e0 END, 6) AS turn_score FROM steps",
     "path_length": "SELECT mmsi, seg, round(sum(km), 5) AS path_km FROM dist GROUP BY mmsi, seg",
     "cumulative_path": "SELECT event_id, round(sum(km) OVER (PARTITION BY mmsi, seg ORDER BY idx ROWS UNBOUNDED PRECEDING), 5) AS cum_km FROM dist",
@@ -65,7 +65,7 @@ PLANS: dict[str, str] = {
     "global_budget": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY speed DESC, event_id) AS rn, count(*) OVER () AS total FROM trk) g WHERE rn <= 0.1e0 * total",
     "stratified_topk": "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY mmsi, seg, CAST(floor(idx / 4) AS BIGINT) ORDER BY speed DESC, idx) AS rn FROM trk) s WHERE rn = 1",
     "query_recall_f1": "SELECT query_id, round(r, 6) AS recall, round(2 * r / (1 + r), 6) AS f1 FROM (SELECT q.query_id, coalesce(sum(k.retained) * 1e0 / count(k.retained), 1e0) AS r FROM q LEFT JOIN hits h ON q.query_id = h.query_id LEFT JOIN kept k ON k.event_id = h.event_id GROUP BY q.query_id) x",
-    "endpoint_sanity": "SELECT count(*) AS n_segments, sum(ok) AS n_kept_ends FROM (SELECT mmsi, seg, min(CASE WHEN (idx = 0 OR idx = n - 1) AND retained = 0 THEN 0 ELSE 1 END) AS ok FROM kept GROUP BY mmsi, seg) s",
+    "endpoint_sanity": "SELECT count(*) AS n_segments, CAST(sum(ok) AS BIGINT) AS n_kept_ends FROM (SELECT mmsi, seg, min(CASE WHEN (idx = 0 OR idx = n - 1) AND retained = 0 THEN 0 ELSE 1 END) AS ok FROM kept GROUP BY mmsi, seg) s",
     "retained_gaps": "SELECT mmsi, seg, max(g) AS max_gap, round(avg(g), 6) AS avg_gap FROM (SELECT mmsi, seg, idx - lag(idx) OVER (PARTITION BY mmsi, seg ORDER BY idx) AS g FROM kept WHERE retained = 1) s WHERE g IS NOT NULL GROUP BY mmsi, seg",
     "point_f1_labels": "SELECT event_id, round(sum(2e0 / (c + 1)) / 12, 6) AS label FROM (SELECT event_id, count(*) OVER (PARTITION BY query_id) AS c FROM hits) s GROUP BY event_id",
     "boundary_events": "SELECT query_id, mmsi, seg, min(idx) AS entry_idx, max(idx) AS exit_idx FROM hits GROUP BY query_id, mmsi, seg",
@@ -77,7 +77,7 @@ PLANS: dict[str, str] = {
     "pearson_speed_heading": "SELECT round(corr(speed, heading * 1e0), 6) AS pearson FROM pts",
     "l1_counts": "SELECT round(sum(abs(a - b)), 6) AS l1 FROM (SELECT ship_type, sum(CASE WHEN mmsi % 2 = 0 THEN 1e0 ELSE 0e0 END) / max(ne) AS a, sum(CASE WHEN mmsi % 2 = 1 THEN 1e0 ELSE 0e0 END) / max(no) AS b FROM (SELECT *, sum(CASE WHEN mmsi % 2 = 0 THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN mmsi % 2 = 1 THEN 1 ELSE 0 END) OVER () AS no FROM pts) x GROUP BY ship_type) y",
     "decile_calibration": "SELECT decile, count(*) AS n, round(avg(heading), 6) AS mean_target FROM (SELECT heading, CAST(floor((row_number() OVER (ORDER BY speed DESC, event_id) - 1) / ceil(count(*) OVER () / 10e0)) AS BIGINT) AS decile FROM pts) d GROUP BY decile",
-    "mask_jaccard": "SELECT sum(a * b) AS inter, sum(greatest(a, b)) AS uni, round(sum(a * b) * 1e0 / sum(greatest(a, b)), 6) AS jaccard FROM (SELECT retained AS a, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS b FROM kept) m",
+    "mask_jaccard": "SELECT CAST(sum(a * b) AS BIGINT) AS inter, CAST(sum(greatest(a, b)) AS BIGINT) AS uni, round(sum(a * b) * 1e0 / sum(greatest(a, b)), 6) AS jaccard FROM (SELECT retained AS a, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS b FROM kept) m",
     "latest_wins_upsert": "SELECT mmsi, t, event_id FROM (SELECT mmsi, t, event_id, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, event_id DESC) AS rn FROM pts) u WHERE rn = 1",
     "top_gaps": "SELECT event_id, round(km, 6) AS km FROM dist ORDER BY km DESC, event_id LIMIT 20",
     "speed_summary": "SELECT count(*) AS n, round(min(speed), 6) AS min_speed, round(avg(speed), 6) AS mean_speed, round(max(speed), 6) AS max_speed, round(stddev_pop(speed), 6) AS sd FROM pts",
