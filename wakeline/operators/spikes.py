@@ -27,6 +27,8 @@ HALO_US = 3 * 3600 * 1_000_000
 RUN = 10
 #: Degrees of latitude a second that no vessel makes (60 m/s).
 FASTEST_DEG = 60 / 111_195
+#: Metres a second: any vessel can make the first, none the second.
+ABLE = (8.0, 60.0)
 #: Valid ranges.
 RANGES = {"sog": (0.0, 102.2), "cog": (0.0, 360.0), "lat": (-90.0, 90.0), "lon": (-180.0, 180.0)}
 
@@ -98,6 +100,38 @@ def _both_ways(z, t, start, length, r, q, gate, floor, period=None):
     return (ahead == 1) & (back == 1), ((ahead == 1) & (back == -1)) | ((back == 1) & (ahead == -1))
 
 
+def out_and_back(z: np.ndarray, t: np.ndarray, gid: np.ndarray, flagged: np.ndarray, reach: np.ndarray, floor: float, period: float | None = None) -> np.ndarray:
+    """flagged and the readings out of reach from those before and after them, which reach each other.
+
+    reach is what the vessel can make in a second. One or two instants in a row may be out; a repeated ping is
+    held against the instants beside it. What is found is left out and the rest is looked through again.
+    """
+    flagged = flagged.copy()
+    for _ in range(4):
+        rows = np.flatnonzero(~flagged & ~np.isnan(z))
+        if not len(rows):
+            break
+        x, tt, g, c = z[rows], t[rows], gid[rows], reach[rows]
+        first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (tt[1:] != tt[:-1])])
+        instant, last = np.cumsum(np.isin(np.arange(len(rows)), first)) - 1, np.r_[first[1:], len(rows)] - 1
+        found = np.zeros(len(rows), dtype=bool)
+        for back, on in ((1, 1), (1, 2), (2, 1)):
+            i, j = instant - back, instant + on
+            inside = (i >= 0) & (j < len(first))
+            i, j = np.maximum(i, 0), np.minimum(j, len(first) - 1)
+            inside &= (g[first[i]] == g) & (g[first[j]] == g)
+            # Of the copies beside it the one that lies nearer counts.
+            near = lambda k: np.where(np.abs(_wrap(x - x[first[k]], period)) <= np.abs(_wrap(x - x[last[k]], period)), first[k], last[k])
+            a, b = near(i), near(j)
+            d1, d2, dt1, dt2 = _wrap(x - x[a], period), _wrap(x - x[b], period), tt - tt[a], tt[b] - tt
+            away = (np.abs(d1) > c * dt1 + floor) & (np.abs(d2) > c * dt2 + floor) & (d1 * d2 > 0)
+            found |= inside & away & (np.abs(_wrap(x[b] - x[a], period)) <= c * (dt1 + dt2) + floor)
+        if not found.any():
+            break
+        flagged[rows[found]] = True
+    return flagged
+
+
 def _metres(lat1, lon1, lat2, lon2):
     a, b, c, d = map(np.radians, (lat1, lon1, lat2, lon2))
     h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
@@ -145,6 +179,16 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
         limit = FASTEST_DEG / (1.0 if f == "lat" else np.maximum(np.cos(np.radians(np.nan_to_num(v["lat"]))), 0.01))
         fast = np.fmax(np.abs(_wrap(v[f] - old, period)) / np.maximum(t - seen_before(v[f]), 1), np.abs(_wrap(new - v[f], period)) / np.maximum(seen_after(v[f]) - t, 1)) > limit
         flags[f] = both | (single & fast)
+    # A fast vessel's gate is wide; what is too far from the readings on both sides for its speed is found against these.
+    # The slower of the steps to and from a reading tells the usual speed: a leap spoils one reading's, not two.
+    pace = _metres(*(beside(v[f])[0] for f in ("lat", "lon")), v["lat"], v["lon"]) / np.maximum(dt, 20)
+    pace = np.fmin(pace, np.r_[np.where(gid[1:] == gid[:-1], pace[1:], np.nan), np.nan]) if len(t) else pace
+    usual = per_group(pace, 0.85)[gid]
+    told = pd.Series(v["sog"]).groupby(gid).rolling(5, center=True, min_periods=1).median().to_numpy() / 1.943844
+    able = np.clip(1.5 * np.fmax(usual, told), *ABLE) / 111_195
+    for f, period in (("lat", None), ("lon", 360.0)):
+        reach = able if f == "lat" else able / np.maximum(np.cos(np.radians(np.nan_to_num(v["lat"]))), 0.01)
+        flags[f] = out_and_back(v[f], t, gid, flags[f], reach, 0.02, period)
     lat, lon = np.where(flags["lat"], np.nan, v["lat"]), np.where(flags["lon"], np.nan, v["lon"])
     g = pd.DataFrame({"lat": lat, "lon": lon, "t": np.where(np.isnan(lat + lon), np.nan, t)})
     before, after = g.groupby(gid).ffill().groupby(gid).shift(), g.groupby(gid).bfill().groupby(gid).shift(-1)
