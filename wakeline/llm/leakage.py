@@ -3,8 +3,9 @@
 Patterns are all runs of three words of the test items, without instructions that several items share. A
 table over blocks of two words tells how far the search may jump ahead; blocks that end a pattern select
 candidate patterns by hash, and direct comparison confirms them. Confirmed runs that cover enough of an item
-are extended by an alignment of the words in order, in which a changed, missing or added word costs three
-matching ones; a stretch counts if it spans ``min_words`` words of the item.
+are extended both ways by furthest-reaching alignments of the words in order, by the number of changed, missing
+or added words; a stretch counts if it spans ``min_words`` words of the item and at most one word in eight of the
+whole is so edited, wherever in it.
 
 Case, punctuation, white space, quoting and markup don't matter. Defined results: null and empty texts hold
 nothing; null prompts or answers are no patterns; a document is searched whole whatever its length; repeated
@@ -86,26 +87,46 @@ class WuManber:
         return found
 
 
-def aligned_span(doc: list[str], item: list[str], price: int = 3) -> int:
-    """Words of item spanned by the best stretch of an alignment in order."""
-    prev = [(0, 0)] * (len(item) + 1)  # (score, first item position of the stretch)
-    best, span = 0, 0
-    for w in doc:
-        cur = [(0, 0)]
-        for j, v in enumerate(item, 1):
-            if w == v:
-                s, a = prev[j - 1]
-                s, a = (s + 1, a) if s > 0 else (1, j)
-            else:
-                s, a = max(prev[j - 1], prev[j], cur[j - 1])
-                s -= price
-                if s <= 0:
-                    s, a = 0, 0
-            cur.append((s, a))
-            if w == v and (j - a + 1 > span and s >= 0.45 * (j - a + 1) or s > best):
-                best = max(best, s)
-                span = max(span, j - a + 1)
-        prev = cur
+def _ends(doc: list[str], item: list[str], d: int, p: int, edits: int, way: int) -> list[int]:
+    """Item words passed from (d, p) on in direction way up to the last matching one, by the number of edits spent."""
+    n, m = (len(doc) - d, len(item) - p) if way > 0 else (d + 1, p + 1)
+    far, ends = {0: 0}, []  # furthest item word by diagonal
+    for e in range(edits + 1):
+        best = ends[-1] if ends else 0
+        reached: dict[int, int] = {}
+        for g, j in far.items():
+            # no edit yet, or a word changed, missing in doc, added in doc
+            for h, k in ((g, j + 1), (g - 1, j + 1), (g + 1, j)) if e else ((g, j),):
+                i = k + h
+                if k > m or not 0 <= i <= n:
+                    continue
+                begun = k
+                while k < m and i < n and doc[d + way * i] == item[p + way * k]:
+                    i, k = i + 1, k + 1
+                if k > begun and k > best:
+                    best = k
+                if k > reached.get(h, -1):
+                    reached[h] = k
+        far = reached
+        ends.append(best)
+    return ends
+
+
+def aligned_span(doc: list[str], item: list[str], seeds: list[tuple[int, int]] | None = None, per_edit: int = 8) -> int:
+    """Most words of item in order in doc around one of the seeds, matching runs (position in doc, in item), of which
+    at most one in per_edit is edited, wherever in the stretch; it begins and ends with a matching word."""
+    if seeds is None:
+        seeds = [(i, j) for i, w in enumerate(doc) for j, v in enumerate(item) if w == v]
+    known, span = set(seeds), 0
+    most = len(item) // per_edit
+    for d, p in seeds:
+        if (d - 1, p - 1) in known:  # the same run
+            continue
+        left, right = _ends(doc, item, d - 1, p - 1, most, -1), _ends(doc, item, d, p, most, 1)
+        for a, x in enumerate(left):
+            for b, y in enumerate(right[: most - a + 1]):
+                if x + y > span and per_edit * (a + b) <= x + y:
+                    span = x + y
     return span
 
 
@@ -123,8 +144,7 @@ def search(text: str | None, index: WuManber, min_cover: int = 6) -> dict[int, i
             near = regions[r] + regions.get(r + 1, [])
             if len({p + o for _, p in near for o in range(M)}) < min_cover:
                 continue
-            lo, hi = min(d for d, _ in near) - 16, max(d for d, _ in near) + M + 16
-            span = aligned_span(doc[max(0, lo) : hi], words)
+            span = aligned_span(doc, words, near)
             out[item_id] = max(out.get(item_id, 0), span)
     return out
 
