@@ -60,10 +60,13 @@ PLANS: dict[str, str] = {
     "cumulative_path": "SELECT event_id, round(sum(km) OVER (PARTITION BY mmsi, seg ORDER BY idx ROWS UNBOUNDED PRECEDING), 5) AS cum_km FROM dist",
     "allowed_distance": "SELECT event_id, round(greatest(speed * 1.852e0 * (t - ptime) / 3600e0 * 1.2e0 * (1 + 0.3e0 * (t - ptime) / 3600e0), 0.05e0), 6) AS allowed_km FROM dist WHERE ptime IS NOT NULL",
     "outlier_steps": "SELECT event_id FROM dist WHERE ptime IS NOT NULL AND km > 1.2e0 * greatest(speed * 1.852e0 * (t - ptime) / 3600e0, 0.05e0)",
-    "uniform_simplify": "SELECT mmsi, seg, idx FROM trk WHERE idx = 0 OR idx = n - 1 OR idx % 4 = 0",
+    "uniform_simplify": """SELECT mmsi, seg, idx FROM (SELECT mmsi, seg, idx, n, k, (idx * (k - 1)) % greatest(n - 1, 1) AS d FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.25e0 * n) AS BIGINT))) AS k FROM trk) b) e
+        WHERE k >= n OR 2 * least(d, n - 1 - d) < k - 1 OR (2 * least(d, n - 1 - d) = k - 1 AND idx % 2 = 0)""",
     "score_topk": "SELECT event_id FROM kept WHERE retained = 1",
-    "global_budget": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY speed DESC, event_id) AS rn, count(*) OVER () AS total FROM trk) g WHERE rn <= 0.1e0 * total",
-    "stratified_topk": "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY mmsi, seg, CAST(floor(idx / 4) AS BIGINT) ORDER BY speed DESC, idx) AS rn FROM trk) s WHERE rn = 1",
+    "global_budget": """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN idx = 0 OR idx = n - 1 THEN 0 ELSE 1 END, speed DESC, event_id) AS rn,
+        sum(CASE WHEN idx = 0 THEN k ELSE 0 END) OVER () AS budget FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.1e0 * n) AS BIGINT))) AS k FROM trk) b) g WHERE rn <= budget""",
+    "stratified_topk": """SELECT event_id FROM (SELECT event_id, idx, n, k, row_number() OVER (PARTITION BY mmsi, seg, CASE WHEN idx = 0 OR idx = n - 1 THEN -1 ELSE stratum END ORDER BY speed DESC, idx) AS rn
+        FROM (SELECT *, CAST(floor((idx * (k - 2) - 1) / (greatest(n - 2, 1) * 1e0)) AS BIGINT) AS stratum FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.25e0 * n) AS BIGINT))) AS k FROM trk) b) c) s WHERE k >= n OR idx = 0 OR idx = n - 1 OR (k > 2 AND rn = 1)""",
     "query_recall_f1": "SELECT query_id, round(r, 6) AS recall, round(2 * r / (1 + r), 6) AS f1 FROM (SELECT q.query_id, coalesce(sum(k.retained) * 1e0 / count(k.retained), 1e0) AS r FROM q LEFT JOIN hits h ON q.query_id = h.query_id LEFT JOIN kept k ON k.event_id = h.event_id GROUP BY q.query_id) x",
     "endpoint_sanity": "SELECT count(*) AS n_segments, CAST(sum(ok) AS BIGINT) AS n_kept_ends FROM (SELECT mmsi, seg, min(CASE WHEN (idx = 0 OR idx = n - 1) AND retained = 0 THEN 0 ELSE 1 END) AS ok FROM kept GROUP BY mmsi, seg) s",
     "retained_gaps": "SELECT mmsi, seg, max(g) AS max_gap, round(avg(g), 6) AS avg_gap FROM (SELECT mmsi, seg, idx - lag(idx) OVER (PARTITION BY mmsi, seg ORDER BY idx) AS g FROM kept WHERE retained = 1) s WHERE g IS NOT NULL GROUP BY mmsi, seg",
