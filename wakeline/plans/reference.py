@@ -49,9 +49,9 @@ PLANS: dict[str, str] = {
         (a.lat_max - a.lat_min) * (a.lon_max - a.lon_min) * (a.t_end - a.t_start) AS va, (b.lat_max - b.lat_min) * (b.lon_max - b.lon_min) * (b.t_end - b.t_start) AS vb
         FROM q a JOIN q b ON a.query_id < b.query_id) p JOIN q a ON a.query_id = p.qa JOIN q b ON b.query_id = p.qb""",
     "family_grouping_sets": "SELECT anchor, footprint, count(*) AS n_hits, count(DISTINCT query_id) AS n_queries FROM hits GROUP BY GROUPING SETS ((anchor), (footprint), (anchor, footprint))",
-    "dedup_exact": "SELECT DISTINCT mmsi, ship_type, heading FROM pts",
+    "dedup_exact": "SELECT DISTINCT mmsi, t, lat, lon, speed, heading, ship_type FROM pts",
     "stationary_thin": "SELECT event_id FROM (SELECT event_id, speed, row_number() OVER (PARTITION BY mmsi, CAST(floor(t / 3600) AS BIGINT), CASE WHEN speed < 1 THEN 0 ELSE event_id + 1 END ORDER BY t, event_id) AS rn FROM pts) s WHERE speed >= 1 OR rn = 1",
-    "ship_type_fill": "SELECT event_id, min(CASE WHEN ship_type = 'error' THEN NULL ELSE ship_type END) OVER (PARTITION BY mmsi) AS filled FROM pts",
+    "ship_type_fill": "SELECT event_id, coalesce(own, min(own) OVER (PARTITION BY mmsi)) AS filled FROM (SELECT event_id, mmsi, CASE WHEN ship_type = 'error' THEN NULL ELSE ship_type END AS own FROM pts) s",
     "vessel_anti": "SELECT p.event_id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM (SELECT mmsi FROM pts WHERE speed > 25 GROUP BY mmsi HAVING count(*) >= 2) f WHERE f.mmsi = p.mmsi)",
     "max_gap_per_vessel": "SELECT mmsi, max(t - pt) AS max_gap_s FROM lagged GROUP BY mmsi",
     "gap_verdicts": "SELECT mmsi, count(*) AS n_gaps, CAST(sum(CASE WHEN t - pt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS n_long FROM lagged WHERE pt IS NOT NULL GROUP BY mmsi",
