@@ -21,3 +21,12 @@ def test_leaps_of_fast_and_rarely_seen_vessels(spark):
     df = spark.createDataFrame([tuple(r) for r in fast + slow + rest + turn], POINT)
     got = {tuple(r) for r in spikes.flag_readings(df).filter("field in ('lat', 'lon')").collect()}
     assert got == {(20, "lat"), (20, "lon"), (40, "lon"), (41, "lon"), (130, "lat"), (206, "lat")}
+
+
+def test_every_copy_of_a_false_ping(spark):
+    rows = [(i, 1, 120_000_000 * i, 55.0 + 0.003 * i, 10.0 + 1e-5 * (i % 7), 10.0 + 0.1 * (i % 4), float(i % 5)) for i in range(60)]
+    i, mmsi, ts, lat, lon, _, cog = rows[30]
+    rows[30:31] = [(i + 1000 * k, mmsi, ts, lat, lon, 60.0, cog) for k in range(3)]
+    lasts = [(2000 + 100 * k + r[0], 2, r[2], r[3], r[4], 10.0 + 0.1 * (r[0] % 4) + (30.0 if r[0] >= 40 else 0.0), r[6]) for r in rows[:30] + rows[33:] for k in range(2)]
+    df = spark.createDataFrame(rows + lasts, POINT)
+    assert {tuple(r) for r in spikes.flag_readings(df).collect()} == {(30, "sog"), (1030, "sog"), (2030, "sog")}

@@ -41,15 +41,15 @@ def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.nda
     """Signed leap flags of one pass: 1 flagged, 0 fitting, -1 where the pass has no earlier reading.
 
     All groups advance in step, long ones in blocks. State per group: level x, variance p; r is the measurement variance and
-    q the variance gained per squared second. Three rejected readings that agree with each other restart
-    the level there.
+    q the variance gained per squared second. Rejected readings of three instants that agree with each other
+    restart the level there.
     """
     n = len(start)
     start, length, skip, group = _blocks(start, length)
     r, q, n = r[group], q[group], len(start)
     out = np.full(len(z), -1, dtype=np.int8)
     x, p, last = np.full(n, np.nan), np.zeros(n), np.zeros(n)
-    pend, held = np.full(n, np.nan), np.zeros(n, dtype=int)
+    pend, pend_t, held = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, dtype=int)
     order = np.argsort(-length, kind="stable")
     start, length, r, q, skip = start[order], length[order], r[order], q[order], skip[order]
     for k in range(int(length.max()) if n else 0):
@@ -66,7 +66,7 @@ def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.nda
         innov = _wrap(zz - x[:m], period)
         far = ok & ~first & (np.abs(innov) > np.maximum(gate * np.sqrt(s), floor))
         near_pend = far & (np.abs(_wrap(zz - pend[:m], period)) <= np.maximum(gate * np.sqrt(q[:m] * dt * dt + r[:m]), floor))
-        held[:m] = np.where(near_pend, held[:m] + 1, np.where(far, 1, np.where(ok, 0, held[:m])))
+        held[:m] = np.where(near_pend, held[:m] + (t[idx] != pend_t[:m]), np.where(far, 1, np.where(ok, 0, held[:m])))
         restart = far & (held[:m] >= 3)
         tell = ok & ~first & (k >= skip[:m])
         out[idx[tell]] = (far & ~restart)[tell]
@@ -77,7 +77,7 @@ def kalman_flags(z: np.ndarray, t: np.ndarray, start: np.ndarray, length: np.nda
             x[:m] = np.where(use, (x[:m] + period) % period if period == 360.0 else _wrap(x[:m], period), x[:m])
         p[:m] = np.where(use, (1 - gain) * pp, np.where(first | restart, r[:m], p[:m]))
         last[:m] = np.where(use | first | restart, t[idx], last[:m])
-        pend[:m] = np.where(far, zz, pend[:m])
+        pend[:m], pend_t[:m] = np.where(far, zz, pend[:m]), np.where(far, t[idx], pend_t[:m])
         held[:m] = np.where(restart, 0, held[:m])
     return out
 
