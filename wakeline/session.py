@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,20 +27,21 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "wak
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; set to a private one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset and Spark runs on this machine alone."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="wakeline-ckpt-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if target is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="wakeline-ckpt-")
+        atexit.register(shutil.rmtree, target, ignore_errors=True)
     sc.setCheckpointDir(target)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_tables: list[str] = []
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +49,41 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wakeline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables written so far; for use when no frame that reads them is needed any more."""
+    n = len(_tables)
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def partitions_for(df: DataFrame, part_bytes: int = 16 << 20) -> int:
+    """How many partitions keep each near part_bytes of the size estimated for df; at least the session's number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(100_000, -(-input_bytes(df) // part_bytes)))
+
+
+def spread(df: DataFrame, *keys: str, part_bytes: int = 16 << 20) -> DataFrame:
+    """Partition df by keys into as many parts as its size asks for."""
+    return df.repartition(partitions_for(df, part_bytes), *keys)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """df as scanned, unless its scan has fewer tasks than the cluster cores; then spread evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
