@@ -1,6 +1,6 @@
 import random
 
-from wakeline.llm.leakage import aligned_span, found_leaks, item_passages, words_of
+from wakeline.llm.leakage import WuManber, aligned_span, found_leaks, item_passages, leaked_spans, search, words_of
 
 
 def sentence(seed, n):
@@ -26,7 +26,7 @@ def test_found_leaks_with_noise_and_decoys(spark):
 
 def test_words_and_shared_instructions():
     assert words_of("<b>It&#39;s</b> **LOW**-pressure\n(12)") == ["its", "low", "pressure", "12"]
-    got = item_passages([(1, "Do this. Alpha beta.", None), (2, "Do this. Gamma.", "Delta")])
+    got = item_passages([(1, "Do this. Alpha beta.", None, ["Do this."]), (2, "Do this. Gamma.", "Delta", ["Do this."])])
     assert got == [(1, ["alpha", "beta"]), (2, ["gamma"]), (2, ["delta"])]
 
 
@@ -36,3 +36,36 @@ def test_span_counts_changed_words():
     doc[8] = "z"
     assert aligned_span(doc, item) == 17
     assert aligned_span(["q"] * 10, item) == 0
+
+
+def test_wording_that_several_items_share_is_found(spark):
+    answer, passage = sentence(21, 20), sentence(22, 30)
+    rows = [(i, f"{sentence(30 + i, 20)}.", answer) for i in (1, 2, 3)] + [(i, f"{passage}. {sentence(40 + i, 20)}.", None) for i in (4, 5)]
+    items = spark.createDataFrame(rows, "item_id bigint, prompt string, answer string")
+    docs = spark.createDataFrame([(1, f"so {answer} then"), (2, f"and {passage} too")], "doc_id bigint, text string")
+    want = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5)]
+    assert sorted(tuple(r) for r in found_leaks(docs, items).collect()) == want
+
+
+def test_blocks_of_items_give_the_same(spark):
+    items = [(i, f"{sentence(100 + i, 20)}.", None) for i in range(9)]
+    docs = spark.createDataFrame([(i, p) for i, p, _ in items], "doc_id bigint, text string")
+    known = spark.createDataFrame(items, "item_id bigint, prompt string, answer string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaked_spans(docs, known, block_items=4).collect())
+    assert got == [(i, i) for i in range(9)]
+
+
+def test_every_stretch_that_counts_holds_a_pattern():
+    rnd = random.Random(4)
+    for _ in range(300):
+        n = rnd.randint(14, 48)
+        item, doc = [f"w{i}" for i in range(n)], [f"w{i}" for i in range(n)]
+        for k in rnd.sample(range(1, n - 1), n // 8):
+            doc[k] = None if rnd.random() < 0.5 else "other"
+        doc = ["x"] * 20 + [w for w in doc if w] + ["y"] * 20
+        assert search(" ".join(doc), WuManber([(1, item)])) == {1: n}
+    # edits side by side
+    item = [f"w{i}" for i in range(40)]
+    for first in range(1, 35):
+        doc = ["x"] * 20 + item[:first] + ["other"] * 4 + item[first + 4 :] + ["y"] * 20
+        assert search(" ".join(doc), WuManber([(1, item)])) == {1: 40}
