@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wakeline.llm.splits import assign_splits, choose_counts, connected_components, found_leaks, identity_edges
+from wakeline.llm.splits import assign_splits, choose_counts, choose_split, connected_components, found_leaks, identity_edges
 from wakeline.session import load
 
 
@@ -85,3 +85,35 @@ def test_whole_vessels_on_one_side_and_shares_met(spark):
     assert len(got) == rows.count() and all(len(x) == 1 for x in sides.values())
     count = Counter(r["split"] for r in got)
     assert abs(count["test"] - 0.1 * len(got)) <= 1 and abs(count["validation"] - 0.1 * len(got)) <= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 400), st.integers(1, 900), min_size=1, max_size=12), st.integers(1, 64), st.floats(0.01, 0.5))
+def test_coarse_units_settle_to_the_row(sizes, max_units, share):
+    total = sum(s * n for s, n in sizes.items())
+    target = round(share * total)
+    got = choose_split(sizes, target, max_units)
+    exact = choose_counts(sizes, target)
+    miss = lambda c: abs(sum(s * n for s, n in c.items()) - target)
+    assert all(0 <= got[s] <= sizes[s] for s in got)
+    assert miss(got) <= miss(exact) + min(sizes)
+
+
+def test_a_hundred_million_rows_in_fives():
+    got = choose_split({5: 20_000_000}, 10_000_000, 1 << 21)
+    assert got == {5: 2_000_000}
+
+
+def test_shares_hold_when_units_are_coarse(spark):
+    d = "/root/testdata/sf0.01"
+    rows = load(spark, d, "run_trajectories").select("traj_id", "mmsi")
+    roots = connected_components(identity_edges(load(spark, d, "vessel_identity")))
+    got = assign_splits(rows, roots, shares={"train": 0.8, "validation": 0.1, "test": 0.1}, max_units=16).collect()
+    count = Counter(r["split"] for r in got)
+    assert abs(count["test"] - 0.1 * len(got)) <= 1 and abs(count["validation"] - 0.1 * len(got)) <= 1
+
+
+def test_long_chain_settles(spark):
+    n = 300
+    edges = spark.createDataFrame([(i, f"c{j}") for i in range(n) for j in (i, i + 1)], "mmsi bigint, key string")
+    assert {r["root"] for r in connected_components(edges).collect()} == {0}

@@ -13,6 +13,9 @@ component; repeated rows change nothing; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +42,14 @@ def identity_edges(identity: DataFrame) -> DataFrame:
     return keys.filter(F.col("key").isNotNull()).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(mmsi, root) of every number in edges (mmsi, key); root is the smallest number of its component."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(mmsi, root) of every number in edges (mmsi, key); root is the smallest number of its component.
+
+    Every round takes away at least half of the roots that share an identifier with a smaller one, so it ends.
+    """
     edges = write_table(edges.select(F.col("mmsi").alias("node"), "key"), "edges")
     parent = edges.select(F.col("node").alias("mmsi"), F.col("node").alias("root")).distinct()
-    for _ in range(max_rounds):
+    while True:
         # Hook: the smallest root seen through each identifier; pre-aggregated per key.
         least = edges.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
         hooks = write_table(edges.join(least.select("key", "least"), "key").groupBy("node").agg(F.min("least").alias("up")).filter("up < node"), "hooks")
@@ -58,7 +64,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         relabel = hooks.select(F.col("node").alias("__n"), F.col("up").alias("__u"))
         edges = write_table(edges.join(relabel, F.col("node") == F.col("__n"), "left").select(F.coalesce("__u", "node").alias("node"), "key").distinct(), "edges")
         parent = write_table(parent.join(relabel, F.col("root") == F.col("__n"), "left").select("mmsi", F.coalesce("__u", "root").alias("root")), "parent")
-    raise RuntimeError("components did not settle")
 
 
 def found_leaks(runs: DataFrame, identity: DataFrame) -> DataFrame:
@@ -73,39 +78,74 @@ def found_leaks(runs: DataFrame, identity: DataFrame) -> DataFrame:
     return pairs.select("run_id", F.least("tr", "te").alias("mmsi_a"), F.greatest("tr", "te").alias("mmsi_b")).distinct()
 
 
-def choose_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
+def choose_counts(sizes: dict[int, int], target: int, unit: int = 1) -> dict[int, int]:
     """How many components of each size to take so that their total is as close to target as can be (ties: below).
 
-    Subset sums as one bitset per item; a multiplicity is cut into powers of two, so an item stands for
-    several components of one size.
+    Subset sums as one bitset per item; a multiplicity is cut into powers of two, so an item stands for several
+    components of one size. An item weighs its rows to the nearest unit. Bitsets are kept at about the square root
+    of their number of places and made again from these on the way back.
     """
-    items: list[tuple[int, int]] = []
+    items: list[tuple[int, int, int]] = []
     for size, n in sorted(sizes.items(), reverse=True):
         chunk = 1
         while n > 0:
             take = min(chunk, n)
-            items.append((size, take))
+            items.append((size, take, (2 * size * take + unit) // (2 * unit)))
             n -= take
             chunk *= 2
-    limit = 2 * target + 1
-    mask = (1 << limit) - 1
-    reach = [1]
-    for size, take in items:
-        reach.append((reach[-1] | (reach[-1] << (size * take))) & mask)
-    last = reach[-1]
-    below = (last & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = last >> (target + 1)
-    best = below
+    aim = (2 * target + unit) // (2 * unit)
+    mask = (1 << (2 * aim + 1)) - 1
+    every = max(1, math.isqrt(len(items)))
+
+    def onward(bits: int, part: list[tuple[int, int, int]]) -> Iterator[int]:
+        for *_, weight in part:
+            bits = (bits | (bits << weight)) & mask
+            yield bits
+
+    kept, bits = [1], 1
+    for k, bits in enumerate(onward(1, items), 1):
+        if k % every == 0:
+            kept.append(bits)
+    best = (bits & ((1 << (aim + 1)) - 1)).bit_length() - 1
+    above = bits >> (aim + 1)
     if above:
-        up = target + 1 + ((above & -above).bit_length() - 1)
-        if up - target < target - below:
+        up = aim + 1 + ((above & -above).bit_length() - 1)
+        if up - aim < aim - best:
             best = up
     taken: dict[int, int] = {}
-    for k in range(len(items) - 1, -1, -1):
-        size, take = items[k]
-        if not reach[k] >> best & 1:
-            taken[size] = taken.get(size, 0) + take
-            best -= size * take
+    for block in range(-(-len(items) // every) - 1, -1, -1):
+        part = items[block * every : (block + 1) * every]
+        reach = [kept[block], *onward(kept[block], part)]
+        for k in range(len(part) - 1, -1, -1):
+            size, take, weight = part[k]
+            if not reach[k] >> best & 1:
+                taken[size] = taken.get(size, 0) + take
+                best -= weight
+    return taken
+
+
+def choose_split(sizes: dict[int, int], target: int, max_units: int) -> dict[int, int]:
+    """choose_counts over rows; where target is above max_units rows, in units first and then to the row.
+
+    The smallest components, of about twice the rows that rounding to units can amount to, are held back; the others
+    are chosen in units for what the held-back ones leave half open, and these settle the rest in rows.
+    """
+    unit = max(1, -(-target // max_units))
+    if unit == 1:
+        return choose_counts(sizes, target)
+    items = sum(n.bit_length() + 1 for n in sizes.values())
+    hold, rest, held = {}, {}, 0
+    for size, n in sorted(sizes.items()):
+        take = min(n, max(0, -(-(items * unit - held) // size)))
+        if take:
+            hold[size] = take
+            held += take * size
+        if n > take:
+            rest[size] = n - take
+    taken = choose_counts(rest, max(0, target - held // 2), unit)
+    left = target - sum(s * n for s, n in taken.items())
+    for s, n in (choose_counts(hold, left) if left > 0 else {}).items():
+        taken[s] = taken.get(s, 0) + n
     return taken
 
 
@@ -113,8 +153,8 @@ def assign_splits(rows: DataFrame, roots: DataFrame, *, shares: dict[str, float]
     """Every row of rows (with mmsi) gets a split; all rows of one vessel get the same one.
 
     Rows of a null number form one component. Only the histogram of component sizes reaches the driver;
-    it has at most sqrt(2 * rows) entries. Beyond max_units rows sizes are counted in coarser units. Which
-    components of a size go where follows a hash of the root; ranks are made from bucket counts, so no
+    it has at most sqrt(2 * rows) entries. Splits of more than max_units rows are chosen in units of rows first
+    and settled to the row with the smallest components. Which components of a size go where follows a hash of the root; ranks are made from bucket counts, so no
     task holds all components of a size.
     """
     labelled = rows.join(roots.withColumnRenamed("mmsi", "__m"), F.col("mmsi") == F.col("__m"), "left").withColumn("vessel", F.coalesce("root", "mmsi", F.lit(-1))).drop("__m", "root")
@@ -123,23 +163,13 @@ def assign_splits(rows: DataFrame, roots: DataFrame, *, shares: dict[str, float]
     )
     hist_rows = sizes.groupBy("size").agg(F.count("*").alias("n")).collect()
     total = sum(r["size"] * r["n"] for r in hist_rows)
-    unit = max(1, -(-total // max_units))
     left = {r["size"]: r["n"] for r in hist_rows}
     quota: dict[str, dict[int, int]] = {}
     names = sorted(shares, key=shares.get)
     for name in names[:-1]:
-        by_unit: dict[int, list[int]] = {}
-        for size in left:
-            by_unit.setdefault(max(1, round(size / unit)), []).append(size)
-        got = choose_counts({u: sum(left[s] for s in ss) for u, ss in by_unit.items()}, round(shares[name] * total / unit))
-        quota[name] = {}
-        for u, want in got.items():
-            for s in by_unit[u]:
-                use = min(want, left[s])
-                if use:
-                    quota[name][s] = use
-                    left[s] -= use
-                    want -= use
+        quota[name] = choose_split({s: n for s, n in left.items() if n}, round(shares[name] * total), max_units)
+        for size, n in quota[name].items():
+            left[size] -= n
     spark = rows.sparkSession
     bounds, start = [], {}
     for name in names[:-1]:
