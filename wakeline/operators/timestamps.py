@@ -3,17 +3,18 @@
 Every text gets its valid interpretations (format candidates). Zoned texts, texts with the
 year in front and texts with a month name have one; numeric dates that end in the year have
 up to two (day first, month first). An expectation-maximisation over format mixtures per
-source (station) learns how often a source writes each format from the texts that fit only
-one and from how soon after the instant the row was received; the posterior chooses the
-interpretation. A posterior below ``confidence`` leaves the row ``ambiguous`` with a null
-instant.
+source (station) learns how often a source writes each format, or something that only looks
+like a date, from the texts that fit only one and from how soon after the instant the row was
+received; a declared order is a prior on the mixture. The posterior chooses the
+interpretation; below ``confidence`` the row is left ``ambiguous`` with a null instant, and
+``unreadable`` if it most likely is no date of this source's.
 
 Defined results: null, blank and unreadable texts give status ``unreadable`` and a null
 instant; a text without zone whose source has no clock zone is unreadable; so is a local
 time a clock skips when it is put forward. Where a clock shows a time twice, the later
 instant that is not after ``received_at`` counts (the earlier one if both are after it, the
-later one if ``received_at`` is null). Repeated rows are treated row by row. Very long texts
-are unreadable. Columns named like the outputs are replaced.
+later one if ``received_at`` is null). Repeated rows are treated row by row. Texts of any
+length are read whole. Columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def parse_text(t: str | None) -> tuple[str, int | None, int | None, int | None]:
     A reading is None where the text names no real date and time that way; offset is None without a zone.
     """
     none = ("unreadable", None, None, None)
-    if t is None or len(t) > 64:
+    if t is None:
         return none
     zone = ""
     if m := RX_YEAR_FIRST.match(t) or RX_BASIC.match(t):
@@ -169,19 +170,25 @@ def is_canonical(ts: Column) -> Column:
     return F.btrim(ts, F.lit(BLANKS)).rlike(RX_CANONICAL)
 
 
-def _delay_bin(received_us: Column, local: Column) -> Column:
-    """Coarse delay between a clock reading and its reception in days, within -60..60 (a zone's hours don't matter)."""
-    return F.least(F.greatest(F.floor((received_us - local) / DAY_US + 0.5), F.lit(-60)), F.lit(60)).cast("int")
+def _delay_bin(received_us: Column, local: Column, zone: Column) -> Column:
+    """Coarse delay between a clock reading and its reception in days, within -60..60; null where either is null."""
+    instant = F.coalesce(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone)), local)
+    days = F.floor((received_us - instant) / DAY_US + 0.5)
+    return F.when(days.isNotNull(), F.least(F.greatest(days, F.lit(-60)), F.lit(60)).cast("int"))
 
 
-def fit_format_mixture(counts: pd.DataFrame, iterations: int = 25, declared_weight: float = 1e6) -> pd.DataFrame:
-    """EM over the mixture of day-first and month-first texts of one source.
+#: The share of texts that only look like a date, before a source's own are seen, and their density beside real arrivals.
+STRAY, STRAY_DENSITY = 0.01, 1e-3
+
+
+def fit_format_mixture(counts: pd.DataFrame, iterations: int = 50, declared_weight: float = 1e9) -> pd.DataFrame:
+    """EM over the mixture of day-first, month-first and stray texts of one source: shares pi_a, pi_b and pi_x.
 
     counts: rows (source, declared, ok_a, ok_b, delay_a, delay_b, n) of distinct evidence;
     their number is bounded by 2 * 2 * 122 * 122 whatever the number of texts. Under the right
     reading a row arrives about at once (late ones some days after, never before); under the
-    wrong one the delay is spread out. A declared order is a Dirichlet prior of weight
-    ``declared_weight``.
+    wrong one the delay is spread out. A declared order is a Dirichlet prior of
+    ``declared_weight`` times the texts seen.
     """
 
     def arrival(delay: float) -> float:
@@ -189,24 +196,23 @@ def fit_format_mixture(counts: pd.DataFrame, iterations: int = 25, declared_weig
             return 1.0
         return 0.9 if delay == 0 else (0.1 / 60 if delay > 0 else 1e-4 / 60)
 
-    declared = counts["declared"].iloc[0]
-    alpha = {"a": 1.0 + declared_weight * (declared == "DMY"), "b": 1.0 + declared_weight * (declared == "MDY")}
-    like_a = [arrival(d) if ok else 0.0 for ok, d in zip(counts["ok_a"], counts["delay_a"])]
-    like_b = [arrival(d) if ok else 0.0 for ok, d in zip(counts["ok_b"], counts["delay_b"])]
+    declared, seen = counts["declared"].iloc[0], float(counts["n"].sum())
+    alpha = [0.05 + declared_weight * seen * (declared == "DMY"), 0.05 + declared_weight * seen * (declared == "MDY"), STRAY / 10]
+    like = [(arrival(da) if oa else 0.0, arrival(db) if ob else 0.0, STRAY_DENSITY) for oa, ob, da, db in zip(counts["ok_a"], counts["ok_b"], counts["delay_a"], counts["delay_b"])]
     weight = counts["n"].tolist()
-    pi = alpha["a"] / (alpha["a"] + alpha["b"])
+    pi = [x / sum(alpha) for x in alpha]
     for _ in range(iterations):
-        mass_a = mass_b = 0.0
-        for la, lb, n in zip(like_a, like_b, weight):  # E step
-            za, zb = pi * la, (1 - pi) * lb
-            if za + zb > 0:
-                mass_a += n * za / (za + zb)
-                mass_b += n * zb / (za + zb)
-        new = (mass_a + alpha["a"]) / (mass_a + mass_b + alpha["a"] + alpha["b"])  # M step
-        if abs(new - pi) < 1e-12:
+        mass = list(alpha)
+        for lk, n in zip(like, weight):  # E step
+            z = [p * x for p, x in zip(pi, lk)]
+            for k in range(3):
+                mass[k] += n * z[k] / sum(z)
+        new = [x / sum(mass) for x in mass]  # M step
+        if max(abs(x - y) for x, y in zip(new, pi)) < 1e-12:
             break
         pi = new
-    return pd.DataFrame({"source": [counts["source"].iloc[0]], "pi_a": [float(pi)]})
+    pi[2] = max(pi[2], STRAY)  # few texts, or a prior's weight, say nothing of strays
+    return pd.DataFrame({"source": [counts["source"].iloc[0]], "pi_a": [pi[0]], "pi_b": [pi[1]], "pi_x": [pi[2]]})
 
 
 def normalize_timestamps(
@@ -219,6 +225,7 @@ def normalize_timestamps(
     written canonically are left out before anything else is computed.
     """
     st = stations.groupBy(F.col("station_id").alias("__sid")).agg(F.min("clock_zone").alias("__zone"), F.min(F.upper("date_order")).alias("__declared"))
+    st, few = bounded_local(st, max_sources)
     pts = points.drop("ts_us", "ts_status", "ts_posterior")
     trimmed = F.btrim(F.col("ts"), F.lit(BLANKS))
     if non_canonical_only:
@@ -226,36 +233,40 @@ def normalize_timestamps(
     received = F.unix_micros(F.col("received_at").cast("timestamp"))
 
     year_last = points.select("ts", F.col("station_id").alias("source"), received.alias("__received")).filter(trimmed.rlike(RX_YEAR_LAST_TEXT))
+    zones = (F.broadcast(st) if few else st).select(F.col("__sid").alias("source"), "__zone", F.col("__declared").alias("declared"))
     evidence = (
         _parsed(year_last, trimmed)
+        .join(zones, "source", "left")
         .select(
             "source",
+            "declared",
             F.col("__us_a").isNotNull().alias("ok_a"),
             F.col("__us_b").isNotNull().alias("ok_b"),
-            _delay_bin(F.col("__received"), F.col("__us_a")).alias("delay_a"),
-            _delay_bin(F.col("__received"), F.col("__us_b")).alias("delay_b"),
+            _delay_bin(F.col("__received"), F.col("__us_a"), F.col("__zone")).alias("delay_a"),
+            _delay_bin(F.col("__received"), F.col("__us_b"), F.col("__zone")).alias("delay_b"),
         )
-        .groupBy("source", "ok_a", "ok_b", "delay_a", "delay_b")
+        .groupBy("source", "declared", "ok_a", "ok_b", "delay_a", "delay_b")
         .agg(F.count("*").alias("n"))
-        .join(st.select(F.col("__sid").alias("source"), F.col("__declared").alias("declared")), "source", "left")
     )
-    mixture, small = bounded_local(evidence.groupBy("source").applyInPandas(lambda pdf: fit_format_mixture(pdf), "source int, pi_a double"), max_sources)
+    mixture, small = bounded_local(evidence.groupBy("source").applyInPandas(lambda pdf: fit_format_mixture(pdf), "source int, pi_a double, pi_b double, pi_x double"), max_sources)
     params = st.join(mixture.withColumnRenamed("source", "__sid"), "__sid", "left")
-    params = F.broadcast(params) if small else params
+    params = F.broadcast(params) if small and few else params
 
-    us_a, us_b, declared = F.col("__us_a"), F.col("__us_b"), F.col("__declared")
-    two = F.coalesce((F.col("__family") == "year_last") & (us_a != us_b), F.lit(False))
+    us_a, us_b = F.col("__us_a"), F.col("__us_b")
+    year_last_text = F.col("__family") == "year_last"
 
     def arrival(us: Column) -> Column:
-        d = _delay_bin(F.col("__received"), us)
-        return F.when(d.isNull(), 1.0).when(d == 0, 0.9).when(d > 0, 0.1 / 60).otherwise(1e-4 / 60)
+        d = _delay_bin(F.col("__received"), us, F.col("__zone"))
+        return F.when(us.isNull(), 0.0).when(d.isNull(), 1.0).when(d == 0, 0.9).when(d > 0, 0.1 / 60).otherwise(1e-4 / 60)
 
-    pi = F.coalesce(F.col("pi_a"), F.lit(0.5))
-    za, zb = pi * arrival(us_a), (1 - pi) * arrival(us_b)
+    za, zb = F.coalesce("pi_a", F.lit(0.5)) * arrival(us_a), F.coalesce("pi_b", F.lit(0.5)) * arrival(us_b)
+    zx = F.coalesce("pi_x", F.lit(STRAY)) * STRAY_DENSITY
     joined = _parsed(pts.withColumn("__received", received), trimmed).join(params, F.col("station_id") == F.col("__sid"), "left")
-    joined = _staged(joined, __post=F.when(declared == "DMY", 1.0).when(declared == "MDY", 0.0).when(two, za / (za + zb)).otherwise(F.when(us_a.isNotNull(), 1.0).otherwise(0.0)))
-    # A source that declares an order writes by it: a text that fits only the other order names no real date.
-    local = F.when(F.col("__family") != "year_last", us_a).when(F.col("__post") >= confidence, us_a).when(F.col("__post") <= 1 - confidence, us_b)
+    # Readings that name one instant share their likelihood.
+    same = F.coalesce(us_a == us_b, F.lit(False))
+    joined = _staged(joined, __z=F.when(year_last_text, F.array(F.when(same, za + zb).otherwise(za), F.when(same, 0.0).otherwise(zb), zx)))
+    joined = _staged(joined, __post=F.transform("__z", lambda z: z / F.aggregate("__z", F.lit(0.0), lambda acc, v: acc + v)))
+    local = F.when(~year_last_text, us_a).when(F.col("__post")[0] >= confidence, us_a).when(F.col("__post")[1] >= confidence, us_b)
     joined = _staged(joined, __local=local)
     instant = F.when(F.col("__family") == "canonical", F.col("__local")).when(F.col("__off").isNotNull(), F.col("__local") - F.col("__off")).when(
         F.col("__local").isNotNull() & F.col("__zone").isNotNull(), _clock_to_instant(F.col("__local"), F.col("__zone"), F.col("__received"))
@@ -263,14 +274,14 @@ def normalize_timestamps(
     joined = _staged(joined, ts_us=instant)
     status = (
         F.when(F.col("ts_us").isNotNull(), F.when(F.col("__family") == "canonical", "canonical").otherwise("resolved"))
-        .when(two & F.col("__local").isNull(), "ambiguous")
+        .when(year_last_text & F.col("__local").isNull() & (F.col("__post")[2] < 0.5), "ambiguous")
         .otherwise("unreadable")
     )
-    posterior = F.when(F.col("ts_us").isNotNull(), F.when(two, F.greatest(F.col("__post"), 1 - F.col("__post"))).otherwise(1.0))
+    posterior = F.when(F.col("ts_us").isNotNull(), F.when(year_last_text, F.array_max("__post")).otherwise(1.0))
     return (
         joined.withColumn("ts_status", status)
         .withColumn("ts_posterior", posterior.cast("double"))
-        .drop("__family", "__us_a", "__us_b", "__off", "__received", "__post", "__local", "__sid", "__zone", "__declared", "pi_a")
+        .drop("__family", "__us_a", "__us_b", "__off", "__received", "__z", "__post", "__local", "__sid", "__zone", "__declared", "pi_a", "pi_b", "pi_x")
     )
 
 
