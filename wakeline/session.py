@@ -64,13 +64,16 @@ def drop_tables(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, part_bytes: int = 16 << 20) -> int:
-    """How many partitions keep each near part_bytes of the size estimated for df; at least the session's number."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, -(-input_bytes(df) // part_bytes)))
+    """How many partitions keep each near part_bytes of the size estimated for df; at least the session's number.
+
+    A size the optimizer doesn't know (it then says the largest number) asks for the session's number.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return least if size >= 1 << 60 else max(least, min(100_000, -(-size // part_bytes)))
 
 
 def spread(df: DataFrame, *keys: str, part_bytes: int = 16 << 20) -> DataFrame:
