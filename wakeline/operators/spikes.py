@@ -188,8 +188,8 @@ def _spans(t: np.ndarray, gid: np.ndarray) -> np.ndarray:
     return np.cumsum(mark) - 1
 
 
-def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Flags of the home rows of whole (mmsi, __block) groups, sorted by group and time."""
+def _flag(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Flags by field of whole (mmsi, __block) groups, sorted by group and time."""
     key = pdf[["mmsi", "__block"]].to_numpy()
     edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     length = np.diff(np.r_[edge, len(key)])
@@ -293,8 +293,7 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
             stuck = ((s["sog"].groupby(by).transform("median") > 2) & (mad(s["cog"], by) > 0.3)).to_numpy() | other
         flags[f] = flags[f].copy()
         flags[f][sel[stuck]] = True
-    home = pdf["__home"].to_numpy()
-    return pd.concat([pd.DataFrame({"id": pdf["id"].to_numpy()[home & flags[f]], "field": f}) for f in RANGES], ignore_index=True)
+    return flags
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], least: int = 40_000) -> Iterator[pd.DataFrame]:
@@ -318,11 +317,34 @@ def flag_readings(points: DataFrame) -> DataFrame:
     cols = points.select("id", "mmsi", "ts_us", *RANGES)
     outside = [F.when((F.col(f) < lo) | ((F.col(f) >= hi) if f == "cog" else (F.col(f) > hi)) | F.isnan(f), F.lit(f)) for f, (lo, hi) in RANGES.items()]
     ranged = cols.select("id", F.explode(F.array_compact(F.array(*outside))).alias("field"))
-    ordered = in_blocks(cols).repartition(partitions_for(points), "mmsi", "__block").sortWithinPartitions("mmsi", "__block", "ts_us", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches):
-            yield _flag(pdf.reset_index(drop=True))
+            pdf = pdf.reset_index(drop=True)
+            flags, home, ids = _flag(pdf), pdf["__home"].to_numpy(), pdf["id"].to_numpy()
+            yield pd.concat([pd.DataFrame({"id": ids[home & flags[f]], "field": f}) for f in RANGES], ignore_index=True)
 
-    leaps = ordered.mapInPandas(run, "id bigint, field string")
+    leaps = _ordered(cols, partitions_for(points)).mapInPandas(run, "id bigint, field string")
     return ranged.unionByName(leaps).distinct()
+
+
+def _ordered(cols: DataFrame, partitions: int) -> DataFrame:
+    return in_blocks(cols).repartition(partitions, "mmsi", "__block").sortWithinPartitions("mmsi", "__block", "ts_us", "id")
+
+
+def clean_positions(points: DataFrame) -> DataFrame:
+    """Rows in blocks (id, mmsi, ts_us, lat, lon, __block, __home) whose lat and lon are neither null, out of range nor flagged."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            pdf = pdf.reset_index(drop=True)
+            flags = _flag(pdf)
+            fine = ~(flags["lat"] | flags["lon"])
+            for f in ("lat", "lon"):
+                x = pdf[f].to_numpy(dtype=float, na_value=np.nan)
+                fine &= (x >= RANGES[f][0]) & (x <= RANGES[f][1])
+            yield pdf.loc[fine, ["id", "mmsi", "ts_us", "lat", "lon", "__block", "__home"]]
+
+    parts = partitions_for(points)
+    kept = _ordered(points.select("id", "mmsi", "ts_us", *RANGES), parts).mapInPandas(run, "id bigint, mmsi bigint, ts_us bigint, lat double, lon double, __block bigint, __home boolean")
+    return kept.repartition(parts, "mmsi", "__block")

@@ -43,9 +43,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = write_table(_timed_points(spark, sf_dir, "id", "mmsi", "lat", "lon", "sog", "cog"), "timed")
-    wrong = spikes.flag_readings(timed).filter(F.col("field").isin("lat", "lon")).select("id").distinct()
-    clean = timed.join(wrong, "id", "left_anti")
-    return trips.stops_and_trips(clean).select("mmsi", "kind", "start_us", "end_us")
+    return trips.stops_and_trips(spikes.clean_positions(timed)).select("mmsi", "kind", "start_us", "end_us")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
