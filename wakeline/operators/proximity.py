@@ -1,7 +1,8 @@
 """Points near other points and in regions (problem 4).
 
-Pairs: every point has one home cell of time and place; its 150 m and 30 s box touches a few cells, and an
-equi-join on the cell finds candidates, which the exact distance confirms. Rows of cells get their own number
+Pairs: every point has one home cell of time and place; its 150 m and 30 s box touches a few cells. It is sent to its
+home cell and to those of them that follow it in order, so that of two points of different cells only one is sent to
+the other's; an equi-join on the cell finds each candidate pair once, which the exact distance confirms. Rows of cells get their own number
 of columns by latitude, so the join is right at the poles and across the antimeridian.
 
 Regions: crossing parity. Polygon edges are binned into latitude strips, points join the edges of their strip,
@@ -15,15 +16,15 @@ null mmsi or unreadable time take no part in pairs; repeated rows all count; emp
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.trips import metres
-from wakeline.session import bounded_local
+from wakeline.session import bounded_local, partitions_for
 
 RX_POINT = r"(?i)^\s*(?:SRID\s*=\s*\d+\s*;)?\s*POINT\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)\s*\)\s*$"
 ROW_DEG = 0.01
@@ -31,31 +32,32 @@ STRIP_DEG = 0.05
 DEG_M = 111_194.9
 
 
-def parse_ewkb(text: str) -> tuple[float, float] | None:
-    """x and y of a point in hex EWKB, or None."""
-    try:
-        raw = bytes.fromhex(text.strip())
-        end = "<" if raw[0] == 1 else ">"
-        kind = struct.unpack_from(end + "I", raw, 1)[0]
-        if kind & 0xFF != 1:
-            return None
-        return struct.unpack_from(end + "dd", raw, 9 if kind & 0x20000000 else 5)
-    except (ValueError, struct.error, IndexError):
-        return None
-
-
-def _ewkb(texts: pd.Series) -> pd.DataFrame:
-    got = [(None, None) if x is None else (parse_ewkb(x) or (None, None)) for x in texts]
-    return pd.DataFrame({"x": pd.Series([g[0] for g in got], dtype="float64"), "y": pd.Series([g[1] for g in got], dtype="float64")})
+def parse_ewkb(texts: pd.Series) -> pd.DataFrame:
+    """x and y of points in hex EWKB, null where a text is none; one numpy read per form and batch."""
+    x, y = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+    raw = texts.str.strip().str.lower()
+    srid = raw.str.len() == 50
+    for order, end in (("01", "<"), ("00", ">")):
+        kind = np.dtype(end + "u4")
+        for mask, flag, at in ((srid, 0x20000000, 9), (raw.str.len() == 42, 0, 5)):
+            rows = np.flatnonzero((mask & raw.str.startswith(order)).fillna(False).to_numpy(dtype=bool))
+            if not len(rows):
+                continue
+            data = np.frombuffer(bytes.fromhex("".join(raw.iloc[rows])), dtype=np.uint8).reshape(len(rows), -1)
+            typed = np.ascontiguousarray(data[:, 1:5]).view(kind)[:, 0]
+            point = ((typed & 0xFF) == 1) & ((typed & 0x20000000) == flag) & ((typed & 0xC0000000) == 0)
+            xy = np.ascontiguousarray(data[:, at : at + 16]).view(np.dtype(end + "f8"))
+            x[rows[point]], y[rows[point]] = xy[point, 0], xy[point, 1]
+    return pd.DataFrame({"x": x, "y": y})
 
 
 def with_position(points: DataFrame) -> DataFrame:
     """Add x (lon) and y (lat) of geom; keep only rows with a readable position in range."""
     g = F.col("geom")
-    hexed = g.rlike(r"^\s*0[01][0-9A-Fa-f]{40,}\s*$")
-    df = points.withColumn("__b", F.pandas_udf(_ewkb, "struct<x double, y double>")(F.when(hexed, g)))
+    hexed = g.rlike(r"^\s*0[01]([0-9A-Fa-f]{40}|[0-9A-Fa-f]{48})\s*$")
+    df = points.withColumn("__b", F.pandas_udf(parse_ewkb, "struct<x double, y double>")(F.when(hexed, g)))
     text = lambda i: F.regexp_extract(g, RX_POINT, i).try_cast("double")
-    df = df.select("*", F.inline(F.array(F.struct(F.coalesce("__b.x", text(1)).alias("x"), F.coalesce("__b.y", text(2)).alias("y"))))).drop("__b")
+    df = df.select("*", F.inline(F.array(F.struct(F.coalesce(F.nanvl("__b.x", F.lit(None).cast("double")), text(1)).alias("x"), F.coalesce(F.nanvl("__b.y", F.lit(None).cast("double")), text(2)).alias("y"))))).drop("__b")
     return df.filter(F.col("x").between(-180, 180) & F.col("y").between(-90, 90) & ~F.isnan("x") & ~F.isnan("y"))
 
 
@@ -77,16 +79,22 @@ def near_pairs(points: DataFrame, *, seconds: int = 30, radius: float = 150.0) -
         return F.pmod(F.floor((x + 180.0) / 360.0 * n), n)
 
     home = p.select(F.col("id").alias("b"), F.col("mmsi").alias("mb"), F.col("ts_us").alias("tb"), F.col("x").alias("xb"), F.col("y").alias("yb"), tbin.alias("ct"), row.alias("cr"), col_of(F.col("x"), row).alias("cc"))
-    wide = p.withColumn("cr", F.explode(F.sequence(F.floor((F.col("y") - reach) / ROW_DEG), F.floor((F.col("y") + reach) / ROW_DEG))))
+    parts = partitions_for(points, 8 << 20)
+    wide = p.withColumns({"ht": tbin, "hr": row, "hc": col_of(F.col("x"), row)})
+    wide = wide.withColumn("ct", F.explode(F.sequence(F.col("ht"), F.floor((F.col("ts_us") + step) / step))))
+    wide = wide.withColumn("cr", F.explode(F.sequence(F.floor((F.col("y") - reach) / ROW_DEG), F.floor((F.col("y") + reach) / ROW_DEG))))
+    wide = wide.filter((F.col("ct") > F.col("ht")) | (F.col("cr") >= F.col("hr")))
     # degrees of longitude within reach at the latitude nearest the pole that the box touches; all of the row near a pole
     top = F.least(F.abs(F.col("y")) + reach, F.lit(90.0))
     half = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(top)), F.lit(1e-9)))
     n = _columns(F.col("cr"))
     lo, hi = F.floor((F.col("x") - half + 180.0) / 360.0 * n), F.floor((F.col("x") + half + 180.0) / 360.0 * n)
     wide = wide.withColumn("cc", F.explode(F.array_distinct(F.transform(F.sequence(lo, F.least(hi, lo + n)), lambda c: F.pmod(c, n)))))
-    wide = wide.withColumn("ct", F.explode(F.sequence(F.floor((F.col("ts_us") - step) / step), F.floor((F.col("ts_us") + step) / step))))
-    joined = wide.join(home, ["ct", "cr", "cc"]).filter((F.col("id") < F.col("b")) & (F.col("mmsi") != F.col("mb")) & (F.abs(F.col("ts_us") - F.col("tb")) <= step))
-    return joined.filter(metres(F.col("y"), F.col("x"), F.col("yb"), F.col("xb")) <= radius).select(F.col("id").alias("a"), "b").distinct()
+    same = (F.col("ct") == F.col("ht")) & (F.col("cr") == F.col("hr"))
+    wide = wide.filter(~same | (F.col("cc") >= F.col("hc"))).withColumn("__own", same & (F.col("cc") == F.col("hc"))).drop("ht", "hr", "hc")
+    joined = wide.repartition(parts, "ct", "cr", "cc").join(home.repartition(parts, "ct", "cr", "cc"), ["ct", "cr", "cc"])
+    joined = joined.filter((~F.col("__own") | (F.col("id") < F.col("b"))) & (F.col("mmsi") != F.col("mb")) & (F.abs(F.col("ts_us") - F.col("tb")) <= step))
+    return joined.filter(metres(F.col("y"), F.col("x"), F.col("yb"), F.col("xb")) <= radius).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
 def rings(wkt: str | None) -> list[list[tuple[float, float]]]:
