@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wakeline.operators.row_parser import found_bad_lines, min_cost_parse, parse_lines
+from wakeline.operators.row_parser import exact_parse, found_bad_lines, min_cost_parse, parse_lines
 from wakeline.session import load
 
 DEC = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$", re.A)
@@ -109,3 +109,54 @@ def test_timestamp_forms(spark, ts, ok):
     lines = spark.createDataFrame([(1, "s", f"1,{ts},A,5,6,1,2,X")], "line_id bigint, source_path string, line string")
     progress = spark.createDataFrame([], "source_path string, delimiter string, updated_at timestamp, rows_read bigint")
     assert found_bad_lines(lines, progress).count() == (0 if ok else 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='a",; \t', max_size=25), st.sampled_from([2, 4, 8]))
+def test_lines_without_edits_have_one_parse(line, fields):
+    """The cheap readings of lines that need no edit are those of the dynamic programming."""
+    quotes, delims, parsed = min_cost_parse(line, ",", fields)
+    exact = exact_parse(line, ",")
+    assert (exact is None) == (quotes > 0)
+    if exact is not None:
+        assert delims == abs(len(exact) - fields)
+        assert parsed == exact
+    if '"' not in line:
+        assert exact == [x.strip(" \t") for x in line.split(",")] and quotes == 0
+
+
+def brute_cost(line, fields):
+    """Fewest (quote, delimiter) edits by trying every set of quotes taken out or put before a delimiter or the end."""
+    import itertools
+
+    best = None
+    at = [i for i, c in enumerate(line) if c == '"']
+    slots = [i for i, c in enumerate(line) if c == ","] + [len(line)]
+    for out in itertools.chain.from_iterable(itertools.combinations(at, k) for k in range(len(at) + 1)):
+        for put in itertools.chain.from_iterable(itertools.combinations(slots, k) for k in range(2)):
+            text = "".join(('"' if i in put else "") + ("" if i in out else c) for i, c in enumerate(line)) + ('"' if len(line) in put else "")
+            f = strict_fields(text, ",")
+            if f is not None:
+                cost = (len(out) + len(put), abs(len(f) - fields))
+                best = cost if best is None else min(best, cost)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='a",', max_size=9))
+def test_quote_costs_are_least(line):
+    """Delimiter edits aren't compared: the brute force may also open a field with a new quote, which is no edit of the parser's."""
+    got = min_cost_parse(line, ",", 3)[:2]
+    assert got[0] <= brute_cost(line, 3)[0]
+
+
+def test_a_long_line_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        min_cost_parse('"' + "x" * n, ";")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(200_000) < 12 * took(50_000) + 0.2
