@@ -4,7 +4,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from wakeline.plans import reference
+from wakeline.plans import operators, reference
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -44,7 +44,7 @@ def test_selectors_keep_the_budget_as_the_reference_does(spark, sf, data):
     segments = defaultdict(list)
     for mmsi, seg, event, speed in con.execute(reference._prelude(reference.ORACLE_EPOCH) + "SELECT mmsi, seg, event_id, speed FROM trk ORDER BY mmsi, seg, idx").fetchall():
         segments[mmsi, seg].append((event, speed))
-    run = lambda name: [tuple(r) for r in reference.QUERIES[name](spark, at).collect()]
+    run = lambda name: [tuple(r) for r in (reference.QUERIES | operators.QUERIES)[name](spark, at).collect()]
     ids = lambda kept: sorted((segments[key][i][0],) for key, i in kept)
     assert {len(x) for x in segments.values()} > {1, 2, 3, 9}
     assert sorted(run("uniform_simplify")) == sorted((*key, i) for key, rows in segments.items() for i in even(len(rows), budget(len(rows), 0.25)))

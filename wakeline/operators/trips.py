@@ -31,7 +31,7 @@ BUCKET_US = 5 * MIN_US
 
 def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * 6_371_000)
+    return F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h))) * (2 * 6_371_000)
 
 
 def _rest_pieces(blocked: DataFrame, silence_us: int, radius: float, slow: float) -> DataFrame:

@@ -1,8 +1,9 @@
 """Trajectory operators as declarative plans over the events-derived track view.
 
-Each plan is one relational expression. The track view and its gap sessionisation are shared; Catalyst
-prunes columns and pushes the predicates of every plan into the scan. ``queries`` runs a plan on Spark,
-``oracle`` gives the text for another SQL engine over the same tables.
+Each plan is one relational expression over a shared track view with its gap sessionisation; Catalyst prunes columns.
+Predicates on computed columns (positions, times) are not pushed into the scan. ``QUERIES`` runs a plan on Spark,
+``ORACLE`` gives the same text for another SQL engine, so it checks the engines against each other, not the plan;
+the operators with oracles of their own are in ``plans/operators.py``.
 """
 
 from __future__ import annotations
@@ -50,18 +51,11 @@ PLANS: dict[str, str] = {
         FROM q a JOIN q b ON a.query_id < b.query_id) p JOIN q a ON a.query_id = p.qa JOIN q b ON b.query_id = p.qb""",
     "family_grouping_sets": "SELECT anchor, footprint, count(*) AS n_hits, count(DISTINCT query_id) AS n_queries FROM hits GROUP BY GROUPING SETS ((anchor), (footprint), (anchor, footprint))",
     "dedup_exact": "SELECT DISTINCT mmsi, t, lat, lon, speed, heading, ship_type FROM pts",
-    "stationary_thin": "SELECT event_id FROM (SELECT event_id, speed, row_number() OVER (PARTITION BY mmsi, CAST(floor(t / 3600) AS BIGINT), CASE WHEN speed < 1 THEN 0 ELSE event_id + 1 END ORDER BY t, event_id) AS rn FROM pts) s WHERE speed >= 1 OR rn = 1",
     "ship_type_fill": "SELECT event_id, coalesce(own, min(own) OVER (PARTITION BY mmsi)) AS filled FROM (SELECT event_id, mmsi, CASE WHEN ship_type = 'error' THEN NULL ELSE ship_type END AS own FROM pts) s",
-    "vessel_anti": "SELECT p.event_id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM (SELECT mmsi FROM pts WHERE speed > 25 GROUP BY mmsi HAVING count(*) >= 2) f WHERE f.mmsi = p.mmsi)",
     "max_gap_per_vessel": "SELECT mmsi, max(t - pt) AS max_gap_s FROM lagged GROUP BY mmsi",
-    "gap_verdicts": "SELECT mmsi, count(*) AS n_gaps, CAST(sum(CASE WHEN t - pt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS n_long FROM lagged WHERE pt IS NOT NULL GROUP BY mmsi",
     "turn_scores": "SELECT event_id, round(CASE WHEN phead IS NULL OR n <= 2 THEN 0e0 ELSE least(abs(heading - phead), 360 - abs(heading - phead)) / 180e0 END, 6) AS turn_score FROM steps",
     "path_length": "SELECT mmsi, seg, round(sum(km), 5) AS path_km FROM dist GROUP BY mmsi, seg",
     "cumulative_path": "SELECT event_id, round(sum(km) OVER (PARTITION BY mmsi, seg ORDER BY idx ROWS UNBOUNDED PRECEDING), 5) AS cum_km FROM dist",
-    "allowed_distance": "SELECT event_id, round(greatest(speed * 1.852e0 * (t - ptime) / 3600e0 * 1.2e0 * (1 + 0.3e0 * (t - ptime) / 3600e0), 0.05e0), 6) AS allowed_km FROM dist WHERE ptime IS NOT NULL",
-    "outlier_steps": "SELECT event_id FROM dist WHERE ptime IS NOT NULL AND km > 1.2e0 * greatest(speed * 1.852e0 * (t - ptime) / 3600e0, 0.05e0)",
-    "uniform_simplify": """SELECT mmsi, seg, idx FROM (SELECT mmsi, seg, idx, n, k, (idx * (k - 1)) % greatest(n - 1, 1) AS d FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.25e0 * n) AS BIGINT))) AS k FROM trk) b) e
-        WHERE k >= n OR 2 * least(d, n - 1 - d) < k - 1 OR (2 * least(d, n - 1 - d) = k - 1 AND idx % 2 = 0)""",
     "score_topk": "SELECT event_id FROM kept WHERE retained = 1",
     "global_budget": """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN idx = 0 OR idx = n - 1 THEN 0 ELSE 1 END, speed DESC, event_id) AS rn,
         sum(CASE WHEN idx = 0 THEN k ELSE 0 END) OVER () AS budget FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.1e0 * n) AS BIGINT))) AS k FROM trk) b) g WHERE rn <= budget""",
@@ -71,15 +65,10 @@ PLANS: dict[str, str] = {
     "endpoint_sanity": "SELECT count(*) AS n_segments, CAST(sum(ok) AS BIGINT) AS n_kept_ends FROM (SELECT mmsi, seg, min(CASE WHEN (idx = 0 OR idx = n - 1) AND retained = 0 THEN 0 ELSE 1 END) AS ok FROM kept GROUP BY mmsi, seg) s",
     "retained_gaps": "SELECT mmsi, seg, max(g) AS max_gap, round(avg(g), 6) AS avg_gap FROM (SELECT mmsi, seg, idx - lag(idx) OVER (PARTITION BY mmsi, seg ORDER BY idx) AS g FROM kept WHERE retained = 1) s WHERE g IS NOT NULL GROUP BY mmsi, seg",
     "point_f1_labels": "SELECT event_id, round(sum(2e0 / (c + 1)) / 12, 6) AS label FROM (SELECT event_id, count(*) OVER (PARTITION BY query_id) AS c FROM hits) s GROUP BY event_id",
-    "boundary_events": "SELECT query_id, mmsi, seg, min(idx) AS entry_idx, max(idx) AS exit_idx FROM hits GROUP BY query_id, mmsi, seg",
-    "density_grid": "SELECT CAST(floor((lat - 54) * 32) AS BIGINT) AS gy, CAST(floor((lon - 9) * 32) AS BIGINT) AS gx, count(*) AS n FROM pts GROUP BY CAST(floor((lat - 54) * 32) AS BIGINT), CAST(floor((lon - 9) * 32) AS BIGINT)",
     "space_time_grid": "SELECT CAST(floor(lat * 4) AS BIGINT) AS gy, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour_bin, round(avg(speed), 6) AS mean_speed FROM pts GROUP BY CAST(floor(lat * 4) AS BIGINT), CAST(floor((t % 86400) / 3600) AS BIGINT)",
     "rank_modes": "SELECT event_id, round((row_number() OVER (PARTITION BY mmsi, seg ORDER BY speed, idx) - 1) * 1e0 / greatest(n - 1, 1), 6) AS rank01 FROM trk",
-    "tie_rank": "SELECT event_id, (rank() OVER (ORDER BY heading)) + (count(*) OVER (PARTITION BY heading) - 1) / 2e0 AS avg_rank FROM pts",
     "zscore": "SELECT event_id, round(CASE WHEN stddev_pop(speed) OVER (PARTITION BY mmsi, seg) <= 1e-6 THEN 0e0 ELSE (speed - avg(speed) OVER (PARTITION BY mmsi, seg)) / stddev_pop(speed) OVER (PARTITION BY mmsi, seg) END, 5) AS z FROM trk WHERE n > 2",
     "pearson_speed_heading": "SELECT round(corr(speed, heading * 1e0), 6) AS pearson FROM pts",
-    "l1_counts": "SELECT round(sum(abs(a - b)), 6) AS l1 FROM (SELECT ship_type, sum(CASE WHEN mmsi % 2 = 0 THEN 1e0 ELSE 0e0 END) / max(ne) AS a, sum(CASE WHEN mmsi % 2 = 1 THEN 1e0 ELSE 0e0 END) / max(no) AS b FROM (SELECT *, sum(CASE WHEN mmsi % 2 = 0 THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN mmsi % 2 = 1 THEN 1 ELSE 0 END) OVER () AS no FROM pts) x GROUP BY ship_type) y",
-    "decile_calibration": "SELECT decile, count(*) AS n, round(avg(heading), 6) AS mean_target FROM (SELECT heading, CAST(floor((row_number() OVER (ORDER BY speed DESC, event_id) - 1) / ceil(count(*) OVER () / 10e0)) AS BIGINT) AS decile FROM pts) d GROUP BY decile",
     "mask_jaccard": "SELECT CAST(sum(a * b) AS BIGINT) AS inter, CAST(sum(greatest(a, b)) AS BIGINT) AS uni, round(sum(a * b) * 1e0 / sum(greatest(a, b)), 6) AS jaccard FROM (SELECT retained AS a, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS b FROM kept) m",
     "latest_wins_upsert": "SELECT mmsi, t, event_id FROM (SELECT mmsi, t, event_id, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, event_id DESC) AS rn FROM pts) u WHERE rn = 1",
     "top_gaps": "SELECT event_id, round(km, 6) AS km FROM dist ORDER BY km DESC, event_id LIMIT 20",
