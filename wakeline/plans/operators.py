@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import boxes, cleaning, ranking, scoring, selectors, tracks
+from wakeline.operators import boxes, cleaning, labels, ranking, scoring, selectors, tracks, workloads
 from wakeline.plans import reference
 from wakeline.session import load
 
@@ -425,10 +425,10 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, DataFrame]
     return p, row, tracks.raster(box_frame(spark), row, 16)
 
 
-@query(_CELL + "SELECT gy, gx, count(*) AS n, round(avg(speed), 5) AS mean FROM cell GROUP BY gy, gx")
+@query(_CELL + "SELECT gy, gx, count(*) AS n, round(sum(speed), 3) AS total FROM cell GROUP BY gy, gx")
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, row, _ = _grid(spark, sf_dir)
-    return _rounded(tracks.cell_means(tracks.cells(p, row, 16), "speed"), 5)
+    return tracks.cell_means(tracks.cells(p, row, 16), "speed").select("gy", "gx", "n", F.round(F.col("mean") * F.col("n"), 3).alias("total"))
 
 
 @query(_CELL + "SELECT gy, gx, n FROM ras")
@@ -461,3 +461,160 @@ def clock_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = geo.clock_features(F.col("t"))
     d = F.when(F.col("speed") < 10, geo.distance_text(F.round(F.col("speed") * 100) / 1000)).otherwise("far")
     return view(spark, sf_dir, "pts").select("event_id", geo.hh_mm(F.col("t")).alias("clock"), (F.round(s, 9) + 0.0).alias("s"), (F.round(c, 9) + 0.0).alias("c"), d.alias("d"))
+
+
+_SEGSTAT = """, st AS (SELECT *, avg(speed) OVER g AS m, stddev_pop(speed) OVER g AS sd, row_number() OVER (PARTITION BY mmsi, seg ORDER BY speed, idx) AS rn,
+  (SELECT count(*) FROM trk o WHERE o.mmsi = t.mmsi AND o.seg = t.seg AND o.speed < t.speed) AS below, (SELECT count(*) FROM trk o WHERE o.mmsi = t.mmsi AND o.seg = t.seg AND o.speed = t.speed) AS ties
+  FROM trk t WINDOW g AS (PARTITION BY mmsi, seg))
+"""
+
+
+@query(_SEGSTAT + """, z AS (SELECT *, 1 / (1 + exp(-CASE WHEN sd > 1e-6 THEN (speed - m) / sd ELSE 0e0 END / 2e0)) AS c FROM st)
+SELECT event_id, round(1 / (1 + exp(-speed / 10e0 / 2e0)), 6) AS temperature_sigmoid, round((rn - 1) * 1e0 / greatest(n - 1, 1), 6) AS rank, round((below + (ties - 1) / 2e0) / greatest(n - 1, 1), 6) AS rank_tie, round(c, 6) AS zscore_sigmoid,
+  round(0.85e0 * (rn - 1) / greatest(n - 1, 1) + 0.15e0 * c, 6) AS rank_confidence FROM z""")
+def score_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "trk").withColumn("tenth", F.col("speed") / 10)
+    for mode in ("temperature_sigmoid", "rank", "rank_tie", "zscore_sigmoid", "rank_confidence"):
+        d = labels.score_mode(d, "tenth" if mode == "temperature_sigmoid" else "speed", mode, temperature=2.0).withColumnRenamed("score", mode)
+    return _rounded(d.select("event_id", "temperature_sigmoid", "rank", "rank_tie", "zscore_sigmoid", "rank_confidence"))
+
+
+@query(""", b AS (SELECT mmsi, seg, idx // 4 AS b, max(speed) AS mx, avg(speed) AS mn, sum(speed) AS su, list_avg(list_slice(list_reverse_sort(list(speed)), 1, CAST(greatest(1, ceil(0.2e0 * count(*))) AS BIGINT))) AS tp FROM trk GROUP BY 1, 2, 3),
+top AS (SELECT max(mx) AS mx, max(mn) AS mn, max(su) AS su, max(tp) AS tp FROM b)
+SELECT t.event_id, round(b.mx / top.mx, 6) AS max, round(b.mn / top.mn, 6) AS mean, round(b.su / top.su, 6) AS mass, round(b.tp / top.tp, 6) AS top20_mean FROM trk t JOIN b ON b.mmsi = t.mmsi AND b.seg = t.seg AND b.b = t.idx // 4, top""")
+def segment_pool_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "trk")
+    for pool in ("max", "mean", "mass", "top20_mean"):
+        d = labels.pooled(d, "speed", pool, size=4).withColumnRenamed("pooled", pool)
+    return _rounded(d.select("event_id", "max", "mean", "mass", "top20_mean"))
+
+
+_RUNS = """, v AS (SELECT *, greatest(0, speed - 10) AS v FROM trk), r AS (SELECT *, (SELECT count(*) FROM v o WHERE o.mmsi = v.mmsi AND o.seg = v.seg AND o.v = 0 AND o.idx < v.idx) AS run FROM v WHERE v > 0)
+"""
+
+
+@query(_RUNS + "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY mmsi, seg, run ORDER BY v DESC, idx) AS k, count(*) OVER (PARTITION BY mmsi, seg, run) AS c FROM r) WHERE k <= greatest(1, ceil(0.35e0 * c))")
+def replacement_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "trk").withColumn("v", F.greatest(F.lit(0.0), F.col("speed") - 10))
+    return labels.run_heads(d, "v").filter("support = 1").select("event_id")
+
+
+@query("SELECT a.event_id, round(sum(b.speed), 6) AS near_sum FROM trk a JOIN trk b ON b.mmsi = a.mmsi AND b.seg = a.seg AND b.idx BETWEEN a.idx - 2 AND a.idx + 2 GROUP BY a.event_id")
+def local_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.window_sum(view(spark, sf_dir, "trk"), "speed", 2).select("event_id", "near_sum"))
+
+
+@query("SELECT event_id, round(CASE WHEN s > 1e-12 THEN speed / s ELSE 0e0 END, 6) AS mass FROM trk JOIN (SELECT mmsi, seg, sum(speed) AS s FROM trk GROUP BY mmsi, seg) USING (mmsi, seg)")
+def unit_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.unit_mass(view(spark, sf_dir, "trk"), "speed").select("event_id", "mass"))
+
+
+_LABEL = ", cnt AS (SELECT query_id, count(*) AS c FROM hits GROUP BY query_id), lab AS (SELECT t.event_id, coalesce((SELECT sum(2e0 / (c + 1)) / 12 FROM hits h JOIN cnt USING (query_id) WHERE h.event_id = t.event_id), 0e0) AS label, idx, n FROM trk t)\n"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "trk")
+    return labels.point_labels(t, boxes.hits(t, box_frame(spark)), "event_id", box_frame(spark))
+
+
+@query(_LABEL + "SELECT event_id, round(label, 6) AS label FROM lab")
+def point_f1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_labels(spark, sf_dir))
+
+
+@query(_LABEL + """SELECT count(*) AS n, count(*) FILTER (WHERE label > 0) AS n_positive, round(count(*) FILTER (WHERE label > 0) * 1e0 / count(*), 6) AS positive_share, round(sum(label), 6) AS mass, round(max(label), 6) AS largest,
+  round(quantile_cont(label, 0.5) FILTER (WHERE label > 0), 6) AS p50, round(quantile_cont(label, 0.9) FILTER (WHERE label > 0), 6) AS p90, round(quantile_cont(label, 0.95) FILTER (WHERE label > 0), 6) AS p95 FROM lab""")
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.label_summary(_labels(spark, sf_dir), "label"))
+
+
+@query(""", edge AS (SELECT h.query_id, h.mmsi, h.seg, h.idx, CASE WHEN EXISTS (SELECT 1 FROM hits o WHERE o.query_id = h.query_id AND o.mmsi = h.mmsi AND o.seg = h.seg AND o.idx = h.idx - 1)
+  AND EXISTS (SELECT 1 FROM hits o WHERE o.query_id = h.query_id AND o.mmsi = h.mmsi AND o.seg = h.seg AND o.idx = h.idx + 1) THEN 1e0 ELSE 1.5e0 END AS w FROM hits h)
+SELECT query_id, mmsi, seg, idx, round(w / avg(w) OVER (PARTITION BY query_id), 6) AS weight FROM edge""")
+def boundary_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, b = view(spark, sf_dir, "trk"), box_frame(spark)
+    return _rounded(labels.boundary_weights(boxes.entry_exit(t, b), boxes.hits(t, b), 0.5))
+
+
+@query("""SELECT round(sum(speed) FILTER (WHERE n > 1 AND idx <= 0.2e0 * (n - 1)) / sum(speed), 5) AS "start", round(sum(speed) FILTER (WHERE n = 1 OR (idx > 0.2e0 * (n - 1) AND idx < 0.8e0 * (n - 1))) / sum(speed), 5) AS middle,
+  round(sum(speed) FILTER (WHERE n > 1 AND idx >= 0.8e0 * (n - 1)) / sum(speed), 5) AS "end" FROM trk""")
+def position_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.position_mass(view(spark, sf_dir, "trk"), "speed"), 5)
+
+
+@query("""SELECT round(avg(-(p * log2(p) + (1 - p) * log2(1 - p))), 6) AS entropy, round(avg(CASE WHEN h > 0 THEN 1e0 ELSE 0e0 END), 6) AS gt_0_00, round(avg(CASE WHEN h > 0.01 THEN 1e0 ELSE 0e0 END), 6) AS gt_0_01,
+  round(avg(CASE WHEN h > 0.05 THEN 1e0 ELSE 0e0 END), 6) AS gt_0_05, round(avg(CASE WHEN h > 0.1 THEN 1e0 ELSE 0e0 END), 6) AS gt_0_10 FROM (SELECT heading / 360e0 AS h, greatest(1e-6, least(1 - 1e-6, heading / 360e0)) AS p FROM pts)""")
+def target_entropy_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "pts").withColumn("h", F.col("heading") / 360)
+    return _rounded(labels.binary_entropy(d, "h").join(labels.support_shares(d, "h"), F.lit(True)))  # one row each
+
+
+@query("""SELECT count(*) FILTER (WHERE retained = 1 AND idx % 4 = 0) AS common, count(*) FILTER (WHERE retained = 1 OR idx % 4 = 0) AS joint,
+  round(count(*) FILTER (WHERE retained = 1 AND idx % 4 = 0) * 1e0 / count(*) FILTER (WHERE retained = 1 OR idx % 4 = 0), 6) AS jaccard, count(*) FILTER (WHERE (retained = 1) <> (idx % 4 = 0)) AS hamming FROM kept""")
+def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.mask_overlap(view(spark, sf_dir, "kept").withColumn("b", (F.col("idx") % 4 == 0).cast("int")), "retained", "b"))
+
+
+@query(""", g AS (SELECT k.n, k.idx - (SELECT max(o.idx) FROM kept o WHERE o.mmsi = k.mmsi AND o.seg = k.seg AND o.retained = 1 AND o.idx < k.idx) AS g FROM kept k WHERE k.retained = 1)
+SELECT round(avg(g), 6) AS avg_gap, round(avg(g / greatest(1, n - 1)), 6) AS avg_gap_share, max(g) * 1e0 AS max_gap FROM g WHERE g IS NOT NULL""")
+def retained_gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(labels.retained_gaps(view(spark, sf_dir, "kept")))
+
+
+@query("SELECT round(avg(CASE WHEN f % 3 <> 0 AND l % 3 <> 0 THEN 1e0 ELSE 0e0 END), 6) AS endpoints FROM (SELECT min(event_id) FILTER (WHERE idx = 0) AS f, min(event_id) FILTER (WHERE idx = n - 1) AS l FROM trk GROUP BY mmsi, seg)")
+def endpoint_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask that loses every third event, so that some ends are missing."""
+    return _rounded(labels.endpoint_share(view(spark, sf_dir, "trk").withColumn("retained", (F.col("event_id") % 3 != 0).cast("int"))))
+
+
+@query(_CELL + "SELECT event_id, round(1e0 / count(*) OVER (PARTITION BY gy, gx), 6) AS weight FROM cell")
+def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, row, _ = _grid(spark, sf_dir)
+    return _rounded(workloads.sparse_weights(tracks.cells(p, row, 16)).select("event_id", "weight"))
+
+
+@query("SELECT event_id AS query_id, round(lat - 2.2e0 / 111.32e0, 6) AS lat_min, round(lat + 2.2e0 / 111.32e0, 6) AS lat_max, round(lon - 2.2e0 / (greatest(0.1e0, cos(radians(lat))) * 111.32e0), 6) AS lon_min, round(lon + 2.2e0 / (greatest(0.1e0, cos(radians(lat))) * 111.32e0), 6) AS lon_max, t - 18000 AS t_start, t + 18000 AS t_end FROM pts")
+def anchor_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = view(spark, sf_dir, "pts").withColumnRenamed("event_id", "query_id")
+    return _rounded(workloads.boxes_around(a, F.lit(2.2), F.lit(5)))
+
+
+_SCORES = ", sc AS (SELECT q.anchor, q.footprint, p.recall FROM (SELECT query_id, avg(retained) AS recall FROM hk GROUP BY query_id) p JOIN q USING (query_id))\n"
+
+
+@query(_HIT + _SCORES + """SELECT anchor, footprint, count(*) AS n, round(avg(recall), 6) AS recall, CASE WHEN grouping(anchor) = 1 THEN 'footprint' WHEN grouping(footprint) = 1 THEN 'anchor' ELSE 'anchor_footprint' END AS level
+  FROM sc GROUP BY GROUPING SETS ((anchor), (footprint), (anchor, footprint))""")
+def family_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scoring.point_scores(_hits(spark, sf_dir)).join(box_frame(spark).select("query_id", "anchor", "footprint"), "query_id")
+    return _rounded(workloads.by_family(s, "anchor", "footprint", ["recall"]))
+
+
+@query("""SELECT * FROM (VALUES ('anchor', 'a', 20), ('anchor', 'b', 5), ('thirds', 'x', 34), ('thirds', 'y', 33), ('thirds', 'z', 33), ('none', 'p', 2), ('none', 'q', 1)) v(plan, family, n)""")
+def quota_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = {"anchor": ({"a": 0.8, "b": 0.2}, 25), "thirds": ({"x": 1, "y": 1, "z": 1}, 100), "none": ({"p": 0, "q": 0}, 3)}
+    rows = [(p, k, n) for p, (w, total) in plans.items() for k, n in workloads.quotas(w, total).items()]
+    return spark.createDataFrame(rows, "plan string, family string, n int")
+
+
+_PROFILE = "chr(CAST(97 + floor(mmsi % 5) AS INT))"
+
+
+@query(f""", c AS (SELECT {_PROFILE} AS profile, r AS ratio, avg(speed) * r AS learned, avg(heading) * r / 15 AS uniform, avg(heading) / 18 * r AS farthest FROM pts, (VALUES (0.01e0), (0.02e0), (0.05e0), (0.10e0), (0.15e0), (0.20e0)) v(r) GROUP BY 1, 2)
+SELECT count(*) AS cells, 28 - count(*) AS missing, count(*) FILTER (WHERE learned > uniform) AS uniform_wins, count(*) FILTER (WHERE learned > farthest) AS farthest_wins, count(*) FILTER (WHERE learned > uniform AND ratio <= 0.05) AS low_wins,
+  count(*) FILTER (WHERE learned > uniform AND ratio = 0.05) AS at_5_percent_wins, false AS passed FROM c WHERE profile <> 'e'""")
+def final_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile is a fifth of the vessels; the ratio 0.30 has no cells."""
+    p = view(spark, sf_dir, "pts").withColumn("profile", F.chr(F.lit(97) + F.col("mmsi") % 5)).withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in workloads.RATIOS[:-1]])))
+    r = F.first("ratio")
+    cells = p.groupBy("profile", "ratio").agg((F.avg("speed") * r).alias("learned"), (F.avg("heading") * r / 15).alias("uniform"), (F.avg("heading") / 18 * r).alias("farthest"))
+    return workloads.final_grid(cells, ["a", "b", "c", "d"])
+
+
+@query()
+def utility_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its parts are those of point_recall, interp_fidelity, turn_coverage and gap_continuity, which have oracles."""
+    k = view(spark, sf_dir, "kept")
+    h = boxes.hits(k, box_frame(spark))
+    s = scoring.point_scores(h).join(scoring.interpolation_scores(h, k), "query_id").join(scoring.turn_scores(h), "query_id").join(scoring.gap_scores(h), "query_id")
+    whole = scoring.distortion(k).join(scoring.length_kept(k), F.lit(True)).join(labels.endpoint_share(k), F.lit(True)).first()
+    return _rounded(workloads.utility(s, length=whole["length_preservation"], avg_sed_km=whole["avg_sed_km"], endpoints=whole["endpoints"]))

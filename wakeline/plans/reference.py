@@ -62,14 +62,10 @@ PLANS: dict[str, str] = {
     "stratified_topk": """SELECT event_id FROM (SELECT event_id, idx, n, k, row_number() OVER (PARTITION BY mmsi, seg, CASE WHEN idx = 0 OR idx = n - 1 THEN -1 ELSE stratum END ORDER BY speed DESC, idx) AS rn
         FROM (SELECT *, CAST(floor((idx * (k - 2) - 1) / (greatest(n - 2, 1) * 1e0)) AS BIGINT) AS stratum FROM (SELECT *, least(n, greatest(2, CAST(ceil(0.25e0 * n) AS BIGINT))) AS k FROM trk) b) c) s WHERE k >= n OR idx = 0 OR idx = n - 1 OR (k > 2 AND rn = 1)""",
     "query_recall_f1": "SELECT query_id, round(r, 6) AS recall, round(2 * r / (1 + r), 6) AS f1 FROM (SELECT q.query_id, coalesce(sum(k.retained) * 1e0 / count(k.retained), 1e0) AS r FROM q LEFT JOIN hits h ON q.query_id = h.query_id LEFT JOIN kept k ON k.event_id = h.event_id GROUP BY q.query_id) x",
-    "endpoint_sanity": "SELECT count(*) AS n_segments, CAST(sum(ok) AS BIGINT) AS n_kept_ends FROM (SELECT mmsi, seg, min(CASE WHEN (idx = 0 OR idx = n - 1) AND retained = 0 THEN 0 ELSE 1 END) AS ok FROM kept GROUP BY mmsi, seg) s",
-    "retained_gaps": "SELECT mmsi, seg, max(g) AS max_gap, round(avg(g), 6) AS avg_gap FROM (SELECT mmsi, seg, idx - lag(idx) OVER (PARTITION BY mmsi, seg ORDER BY idx) AS g FROM kept WHERE retained = 1) s WHERE g IS NOT NULL GROUP BY mmsi, seg",
-    "point_f1_labels": "SELECT event_id, round(sum(2e0 / (c + 1)) / 12, 6) AS label FROM (SELECT event_id, count(*) OVER (PARTITION BY query_id) AS c FROM hits) s GROUP BY event_id",
     "space_time_grid": "SELECT CAST(floor(lat * 4) AS BIGINT) AS gy, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour_bin, round(avg(speed), 6) AS mean_speed FROM pts GROUP BY CAST(floor(lat * 4) AS BIGINT), CAST(floor((t % 86400) / 3600) AS BIGINT)",
     "rank_modes": "SELECT event_id, round((row_number() OVER (PARTITION BY mmsi, seg ORDER BY speed, idx) - 1) * 1e0 / greatest(n - 1, 1), 6) AS rank01 FROM trk",
     "zscore": "SELECT event_id, round(CASE WHEN stddev_pop(speed) OVER (PARTITION BY mmsi, seg) <= 1e-6 THEN 0e0 ELSE (speed - avg(speed) OVER (PARTITION BY mmsi, seg)) / stddev_pop(speed) OVER (PARTITION BY mmsi, seg) END, 5) AS z FROM trk WHERE n > 2",
     "pearson_speed_heading": "SELECT round(corr(speed, heading * 1e0), 6) AS pearson FROM pts",
-    "mask_jaccard": "SELECT CAST(sum(a * b) AS BIGINT) AS inter, CAST(sum(greatest(a, b)) AS BIGINT) AS uni, round(sum(a * b) * 1e0 / sum(greatest(a, b)), 6) AS jaccard FROM (SELECT retained AS a, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS b FROM kept) m",
     "latest_wins_upsert": "SELECT mmsi, t, event_id FROM (SELECT mmsi, t, event_id, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, event_id DESC) AS rn FROM pts) u WHERE rn = 1",
     "top_gaps": "SELECT event_id, round(km, 6) AS km FROM dist ORDER BY km DESC, event_id LIMIT 20",
     "speed_summary": "SELECT count(*) AS n, round(min(speed), 6) AS min_speed, round(avg(speed), 6) AS mean_speed, round(max(speed), 6) AS max_speed, round(stddev_pop(speed), 6) AS sd FROM pts",
