@@ -68,20 +68,17 @@ def sparse_weights(points: DataFrame, by: Sequence[str] = ("gy", "gx")) -> DataF
 def draw(points: DataFrame, weight: str, key: str, n: int, seed: str) -> DataFrame:
     """n draws with replacement by weight, at fixed places of the summed weights: query_id and the drawn point's columns.
 
-    Places come from the seed; sums run in two stages, and places are joined by the interval they fall into, one row
-    of points at a time, so nothing but the n places is broadcast.
+    Places come from the seed and n; sums run in two stages. A point and a place meet in one of n slots of the sum, so
+    the join is on the slot and has at most rows + n candidates.
     """
-    spark = points.sparkSession
     d = running(points.filter(F.col(weight) > 0), [F.col(key).asc()], [weight])
-    total = points.agg(F.sum(weight)).first()[0] or 0.0
-    if not total:
-        return d.limit(0).withColumn("query_id", F.lit(0).cast("bigint"))
-    at = spark.range(n).select(F.col("id").alias("query_id"), (unit_interval(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))) * total).alias("__at"))
-    places = [r[0] for r in at.select("__at").orderBy("__at").collect()]  # n, a parameter
+    total = float(points.filter(F.col(weight) > 0).agg(F.coalesce(F.sum(weight), F.lit(0.0))).first()[0])
+    at = points.sparkSession.range(n).select(F.col("id").alias("query_id"), (unit_interval(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))) * total).alias("__at"))
+    slot = lambda x: F.least(F.lit(n - 1), F.floor(x / F.lit(max(total, 1e-300) / n)))
     lo, hi = F.col(f"before_{weight}"), F.col(f"before_{weight}") + F.col(weight)
-    held = F.filter(F.array(*[F.lit(p) for p in places]), lambda p: (p >= lo) & (p < hi))
-    picked = d.withColumn("__at", F.explode(held)).drop(f"before_{weight}")
-    return picked.join(F.broadcast(at), "__at").drop("__at")
+    spread = d.withColumn("__slot", F.explode(F.sequence(slot(lo), slot(hi))))
+    picked = spread.join(at.withColumn("__slot", slot(F.col("__at"))), "__slot").filter((F.col("__at") >= lo) & (F.col("__at") < hi))
+    return picked.drop("__at", "__slot", f"before_{weight}")
 
 
 def utility(scores: DataFrame, *, length: float = 1.0, avg_sed_km: float = 0.0, endpoints: float = 1.0) -> DataFrame:
