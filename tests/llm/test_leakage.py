@@ -69,3 +69,11 @@ def test_every_stretch_that_counts_holds_a_pattern():
     for first in range(1, 35):
         doc = ["x"] * 20 + item[:first] + ["other"] * 4 + item[first + 4 :] + ["y"] * 20
         assert search(" ".join(doc), WuManber([(1, item)])) == {1: 40}
+
+
+def test_what_is_broadcast_needs_no_package():
+    import pickle
+    import pickletools
+
+    raw = pickle.dumps(WuManber([(1, sentence(1, 20).split())]).tables())
+    assert not any("wakeline" in str(arg) for _, arg, _ in pickletools.genops(raw))

@@ -94,6 +94,16 @@ class WuManber:
                     self.shift[block] = min(self.shift.get(block, M - B + 1), M - q)
                 self.bucket[(w[p + M - 2], w[p + M - 1])].append((k, p))
 
+    @classmethod
+    def of_tables(cls, tables: tuple) -> WuManber:
+        index = cls.__new__(cls)
+        index.passages, index.rare, index.shift, index.bucket = tables
+        return index
+
+    def tables(self) -> tuple:
+        """The index as plain lists and dicts, which workers can read without this package."""
+        return self.passages, self.rare, self.shift, dict(self.bucket)
+
     def hits(self, doc: list[str]) -> dict[int, list[tuple[int, int]]]:
         """passage -> (position in doc, position in passage) of every pattern found."""
         found: dict[int, list[tuple[int, int]]] = {}
@@ -214,11 +224,12 @@ def leaked_spans(docs: DataFrame, items: DataFrame, *, block_items: int = 20_000
     found = []
     for k in range(blocks):
         rows = (known.filter(F.col("block") == k) if blocks > 1 else known).select("item_id", "prompt", "answer", "shared").collect()
-        index = spark.sparkContext.broadcast(WuManber(item_passages([tuple(r) for r in rows])))
+        index = spark.sparkContext.broadcast(WuManber(item_passages([tuple(r) for r in rows])).tables())
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=index) -> Iterator[pd.DataFrame]:
+            index = WuManber.of_tables(shared.value)
             for pdf in batches:
-                got = [(d, i, n) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, n in search(t, index.value).items() if n >= min_words]
+                got = [(d, i, n) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, n in search(t, index).items() if n >= min_words]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "words"])
 
         found.append(spread_scan(docs.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, item_id bigint, words int"))
