@@ -16,7 +16,6 @@ proportional to their length.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,13 +32,17 @@ RX_ISO = r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt ]([01][0-9]|2[0-3]):?[0-5][0-9](:?[0
 BLANK = " \t\r\n\u000b\u000c "
 
 #: Marks in a parse: a field opens with a quote, ends plain, ends after a quote.
-OPEN, CUT_PLAIN, CUT_QUOTED = object(), object(), object()
+OPEN, CUT_PLAIN, CUT_QUOTED = 0, 1, 2
+
+_grammars: dict[str, re.Pattern] = {}  # a decorated function could not be pickled by value
 
 
-@cache
 def _grammar(delimiter: str) -> re.Pattern:
+    if delimiter in _grammars:
+        return _grammars[delimiter]
     d, blank = re.escape(delimiter), "[" + re.escape(BLANK.replace(delimiter, "")) + "]"
-    return re.compile(rf'(?:{blank}*+"((?:[^"]|"")*+)"{blank}*+|({blank}*+(?!")[^{d}]*+))({d}|\Z)')
+    _grammars[delimiter] = re.compile(rf'(?:{blank}*+"((?:[^"]|"")*+)"{blank}*+|({blank}*+(?!")[^{d}]*+))({d}|\Z)')
+    return _grammars[delimiter]
 
 
 def exact_parse(line: str, delimiter: str) -> list[str] | None:
@@ -113,11 +116,11 @@ def min_cost_parse(line: str, delimiter: str, fields: int = FIELDS) -> tuple[int
     parsed: list[str] = []
     cur: list[str] = []
     for mark in [*reversed(marks), CUT_PLAIN if best[2] in "SP" else CUT_QUOTED]:
-        if mark is OPEN:
+        if mark == OPEN:
             cur = []
-        elif mark is CUT_PLAIN or mark is CUT_QUOTED:
+        elif mark in (CUT_PLAIN, CUT_QUOTED):
             text = "".join(cur)
-            parsed.append(text.strip(blanks) if mark is CUT_PLAIN else text)
+            parsed.append(text.strip(blanks) if mark == CUT_PLAIN else text)
             cur = []
         else:
             cur.append(mark)
